@@ -54,4 +54,101 @@ def contact_sql() -> dict[str, str]:
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(contact_sql())
+    out.update(token_sql())
     return out
+
+
+# ------------------------------------------------------------------ tokens, windows, samples
+
+from ..functions.arrays import TOKEN_PATTERN_RE2  # noqa: E402
+
+_TP = sql_str(TOKEN_PATTERN_RE2)
+
+
+def tokens_cte(source_sql: str = DOCUMENTS_SQL, name: str = "tok") -> str:
+    """Exploded tokens with offsets: running sum of gap + token lengths (window function)."""
+    return (f"{name}_a AS (SELECT doc_id, regexp_extract_all(text, {_TP}) AS toks, "
+            f"string_split_regex(text, {_TP}) AS gaps FROM ({source_sql}) s), "
+            f"{name}_b AS (SELECT doc_id, unnest(range(0, len(toks))) AS pos, unnest(toks) AS token, "
+            f"unnest(gaps[1:len(toks)]) AS gap FROM {name}_a), "
+            f"{name} AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, token, "
+            f"CAST(sum(length(gap) + length(token)) OVER (PARTITION BY doc_id ORDER BY pos "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(token) AS INTEGER) AS start, "
+            f"CAST(sum(length(gap) + length(token)) OVER (PARTITION BY doc_id ORDER BY pos "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS \"end\" FROM {name}_b)")
+
+
+WINDOW_CFG_SQL = "(VALUES (510, 0, 512), (100, 20, 64)) c(win_size, win_overlap, max_len)"
+
+
+def windows_cte() -> str:
+    """Token rows assigned to windows (a token sits in every window whose range holds it)."""
+    return (f"{tokens_cte()}, "
+            f"ntok AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), "
+            f"wins AS (SELECT doc_id, win_size, win_overlap, max_len, unnest(range(0, CAST(greatest(ceil((n - win_overlap) "
+            f"/ (win_size - win_overlap)), 1) AS BIGINT))) AS window_no FROM ntok, {WINDOW_CFG_SQL}), "
+            f"wtok AS (SELECT w.win_size, w.win_overlap, w.max_len, w.doc_id, CAST(w.window_no AS INTEGER) AS window_no, "
+            f"t.pos, t.token, t.start, t.\"end\" FROM wins w JOIN tok t ON t.doc_id = w.doc_id "
+            f"AND t.pos >= w.window_no * (w.win_size - w.win_overlap) "
+            f"AND t.pos < w.window_no * (w.win_size - w.win_overlap) + w.win_size)")
+
+
+def padded_cte() -> str:
+    return (f"{windows_cte()}, "
+            f"wl AS (SELECT win_size, max_len, doc_id, window_no, list(token ORDER BY pos) AS l FROM wtok "
+            f"GROUP BY ALL), "
+            f"padded AS (SELECT win_size, max_len, doc_id, window_no, CASE WHEN len(l) >= max_len THEN l[1:max_len] "
+            f"ELSE list_concat(l, list_transform(range(max_len - len(l)), lambda x: '[PAD]')) END AS p FROM wl)")
+
+
+def vocab_cte() -> str:
+    return ("vcount AS (SELECT token, count(*) AS cnt FROM tok GROUP BY token HAVING count(*) >= 2), "
+            "vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 1 AS INTEGER) AS id, "
+            "cnt AS count FROM vcount)")
+
+
+def token_sql() -> dict[str, str]:
+    return {
+        "tokenize_offsets": f"WITH {tokens_cte()} SELECT doc_id, pos, token, start, \"end\" FROM tok",
+        "special_tokens": (
+            f"SELECT doc_id, CAST(len(toks) + 2 AS INTEGER) AS n_with_special, '<s>' AS first_token, "
+            f"coalesce(toks[1], '</s>') AS second_token, '</s>' AS last_token, true AS roundtrip "
+            f"FROM (SELECT doc_id, regexp_extract_all(text, {_TP}) AS toks FROM documents) d"),
+        "token_windows": (
+            f"WITH {windows_cte()} SELECT win_size, win_overlap, doc_id, window_no, CAST(count(*) AS INTEGER) AS n_tokens, "
+            f"arg_min(token, pos) AS first_token, arg_max(token, pos) AS last_token, "
+            f"CAST(min(start) AS INTEGER) AS span_start, CAST(max(\"end\") AS INTEGER) AS span_end "
+            f"FROM wtok GROUP BY win_size, win_overlap, doc_id, window_no"),
+        "pad_truncate_mask": (
+            f"WITH {padded_cte()} SELECT win_size, doc_id, window_no, CAST(len(p) AS INTEGER) AS padded_len, "
+            f"CAST(len(list_filter(p, lambda x: x <> '[PAD]')) AS INTEGER) AS mask_sum, "
+            f"array_to_string(p, ' ') AS tokens_text, "
+            f"array_to_string(list_transform(p, lambda x: CASE WHEN x = '[PAD]' THEN '0' ELSE '1' END), '') AS mask_text "
+            f"FROM padded"),
+        "vocabulary": f"WITH {tokens_cte()}, {vocab_cte()} SELECT token, id, count FROM vocab",
+        "vocab_encode": (
+            f"WITH {padded_cte()}, {vocab_cte()}, "
+            f"pe AS (SELECT doc_id, window_no, unnest(range(0, len(p))) AS i, unnest(p) AS token FROM padded "
+            f"WHERE win_size = 510), "
+            f"pi AS (SELECT pe.doc_id, pe.window_no, pe.i, CASE WHEN pe.token = '[PAD]' THEN 0 "
+            f"ELSE coalesce(v.id, 1) END AS id FROM pe LEFT JOIN vocab v ON v.token = pe.token) "
+            f"SELECT doc_id, window_no, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY i) AS ids_text "
+            f"FROM pi GROUP BY doc_id, window_no"),
+        "logit_argmax": (
+            "SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS label_id, "
+            "(['O','B-DATE','I-DATE','B-EMAIL','I-EMAIL','B-LOCATION','I-LOCATION','B-PERSON','I-PERSON',"
+            "'B-PHONE_NUMBER','I-PHONE_NUMBER'])[list_position(l, list_max(l))] AS label "
+            "FROM (SELECT vec_id, embedding[1:11] AS l FROM embeddings) e"),
+        "merge_windows": (
+            f"WITH {tokens_cte()}, per AS (SELECT doc_id, count(*) AS n, arg_min(token, pos) AS first_token, "
+            f"arg_max(token, pos) AS last_token FROM tok GROUP BY doc_id) "
+            f"SELECT doc_id, CAST(ceil(n / 510) AS INTEGER) AS n_windows, CAST(n AS INTEGER) AS n_tokens, first_token, "
+            f"last_token, CAST(n - 2 * (n // 510) - CASE WHEN n % 510 = 0 THEN 0 WHEN n % 510 = 1 THEN 1 ELSE 2 END "
+            f"AS INTEGER) AS n_tokens_trimmed, true AS same_as_source FROM per"),
+        "attach_documents": (
+            f"WITH {tokens_cte()}, per AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id) "
+            f"SELECT 'inner' AS how, d.doc_id, CAST(length(d.text) AS INTEGER) AS n_chars, CAST(p.n AS INTEGER) AS n_tokens "
+            f"FROM documents d JOIN per p ON p.doc_id = d.doc_id UNION ALL "
+            f"SELECT 'left' AS how, d.doc_id, CAST(length(d.text) AS INTEGER) AS n_chars, CAST(p.n AS INTEGER) AS n_tokens "
+            f"FROM documents d LEFT JOIN per p ON p.doc_id = d.doc_id"),
+    }

@@ -63,4 +63,128 @@ def contact_queries() -> dict[str, Query]:
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(contact_queries())
+    out.update(token_queries())
     return out
+
+
+# ------------------------------------------------------------------ tokens, windows, samples
+
+from ..config import labels_by_id  # noqa: E402
+from ..functions.arrays import add_special, strip_edges  # noqa: E402
+from ..operators.tokens import (build_vocabulary, explode_tokens, prepare_samples, to_windows,  # noqa: E402
+                                with_tokens)
+from ..operators.spans import merge_windows  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+WINDOW_CONFIGS = ((510, 0, 512), (100, 20, 64))  # (window size, overlap, padded length)
+
+
+def doc_tokens(spark, sf_dir):
+    return with_tokens(documents(spark, sf_dir))
+
+
+def q_tokenize_offsets(spark, sf_dir):
+    return explode_tokens(doc_tokens(spark, sf_dir))
+
+
+def q_special_tokens(spark, sf_dir):
+    d = doc_tokens(spark, sf_dir).withColumn("s", add_special(F.col("tokens")))
+    return d.select("doc_id", F.size("s").alias("n_with_special"),
+                    F.col("s")[0].token.alias("first_token"), F.col("s")[1].token.alias("second_token"),
+                    F.element_at("s", -1).token.alias("last_token"),
+                    (strip_edges(F.col("s")) == F.col("tokens")).alias("roundtrip"))
+
+
+def _window_rows(spark, sf_dir):
+    d = doc_tokens(spark, sf_dir)
+    parts = []
+    for size, overlap, max_len in WINDOW_CONFIGS:
+        parts.append(to_windows(d, size, overlap).select(
+            F.lit(size).alias("win_size"), F.lit(overlap).alias("win_overlap"), F.lit(max_len).alias("max_len"),
+            "doc_id", "window_no", "tokens"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_token_windows(spark, sf_dir):
+    w = _window_rows(spark, sf_dir)
+    return w.select("win_size", "win_overlap", "doc_id", "window_no", F.size("tokens").alias("n_tokens"),
+                    F.col("tokens")[0].token.alias("first_token"),
+                    F.element_at("tokens", -1).token.alias("last_token"),
+                    F.col("tokens")[0].start.alias("span_start"), F.element_at("tokens", -1).end.alias("span_end"))
+
+
+def q_pad_truncate_mask(spark, sf_dir):
+    parts = []
+    w = _window_rows(spark, sf_dir)
+    for size, overlap, max_len in WINDOW_CONFIGS:
+        sel = w.where((F.col("win_size") == size) & (F.col("win_overlap") == overlap))
+        s = prepare_samples(sel, max_len=max_len, key_cols=("win_size", "doc_id", "window_no"))
+        parts.append(s.select("win_size", "doc_id", "window_no", F.size("padded").alias("padded_len"),
+                              F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
+                              F.array_join("padded", " ").alias("tokens_text"),
+                              F.array_join(F.transform("mask", lambda x: x.cast("string")), "").alias("mask_text")))
+    return parts[0].unionByName(parts[1])
+
+
+def _vocabulary(spark, sf_dir):
+    vocab = build_vocabulary(explode_tokens(doc_tokens(spark, sf_dir)), min_count=2)
+    return vocab.checkpoint()  # reusable artefact: cut lineage before counting and joining it
+
+
+def q_vocabulary(spark, sf_dir):
+    return _vocabulary(spark, sf_dir)
+
+
+def q_vocab_encode(spark, sf_dir):
+    vocab = _vocabulary(spark, sf_dir)
+    w = _window_rows(spark, sf_dir).where(F.col("win_size") == 510)
+    s = prepare_samples(w, max_len=512, vocab=vocab)
+    return s.select("doc_id", "window_no", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+                    .alias("ids_text"))
+
+
+def q_logit_argmax(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    logits = F.slice("embedding", 1, 11)
+    label_id = (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
+    return e.select("vec_id", label_id.alias("label_id"),
+                    F.element_at(labels_by_id(), label_id + 1).alias("label"))
+
+
+def q_merge_windows(spark, sf_dir):
+    d = doc_tokens(spark, sf_dir)
+    w = to_windows(d, 510, 0)
+    merged = merge_windows(w, ["tokens"])
+    trimmed = merge_windows(w, ["tokens"], edge_trim=1)
+    return (merged.join(trimmed.select("doc_id", F.size("tokens").alias("n_tokens_trimmed")), "doc_id")
+            .join(d.select("doc_id", F.col("tokens").alias("source_tokens")), "doc_id")
+            .select("doc_id", "n_windows", F.size("tokens").alias("n_tokens"),
+                    F.col("tokens")[0].token.alias("first_token"), F.element_at("tokens", -1).token.alias("last_token"),
+                    "n_tokens_trimmed", (F.col("tokens") == F.col("source_tokens")).alias("same_as_source")))
+
+
+def q_attach_documents(spark, sf_dir):
+    from ..operators.spans import attach_documents
+    docs = documents(spark, sf_dir)
+    merged = merge_windows(to_windows(with_tokens(docs), 510, 0), ["tokens"])
+    parts = [attach_documents(merged, docs, how=how).select(
+        F.lit(how).alias("how"), "doc_id", F.length("text").alias("n_chars"),
+        F.size("tokens").alias("n_tokens")) for how in ("inner", "left")]
+    return parts[0].unionByName(parts[1])
+
+
+def token_queries() -> dict[str, Query]:
+    return {
+        "tokenize_offsets": q_tokenize_offsets,
+        "special_tokens": q_special_tokens,
+        "token_windows": q_token_windows,
+        "pad_truncate_mask": q_pad_truncate_mask,
+        "vocabulary": q_vocabulary,
+        "vocab_encode": q_vocab_encode,
+        "logit_argmax": q_logit_argmax,
+        "merge_windows": q_merge_windows,
+        "attach_documents": q_attach_documents,
+    }
