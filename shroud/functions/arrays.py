@@ -26,6 +26,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def at(values: Column, i) -> Column:
+    """0-based element, NULL when ``i`` is outside the array (never an error, never from the end)."""
+    i = i if isinstance(i, Column) else F.lit(i)
+    return F.when((i >= 0) & (i < F.size(values)), values.getItem(i))
+
+
 def prefix_sum(values: Column) -> Column:
     """Inclusive running sum of an ARRAY<INT> in O(n log n), one row at a time.
 

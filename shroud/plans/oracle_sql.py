@@ -3,7 +3,7 @@ over the same parquet views. Fakes reuse the SQL twins of the generators so valu
 
 from __future__ import annotations
 
-from ..config import DEFAULT_SEED
+from ..config import DEFAULT_SEED, LABEL2ID
 from ..functions.fakes import SQL_FAKERS
 from ..functions.patterns import RE2_PATTERNS
 from ..functions.hashing import sql_str
@@ -55,6 +55,7 @@ def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(contact_sql())
     out.update(token_sql())
+    out.update(casenote_sql())
     return out
 
 
@@ -152,3 +153,167 @@ def token_sql() -> dict[str, str]:
             f"SELECT 'left' AS how, d.doc_id, CAST(length(d.text) AS INTEGER) AS n_chars, CAST(p.n AS INTEGER) AS n_tokens "
             f"FROM documents d LEFT JOIN per p ON p.doc_id = d.doc_id"),
     }
+
+
+# ------------------------------------------------------------------ case notes
+
+from ..functions.dates import sql_fake_date  # noqa: E402
+from ..functions.fakes import sql_fake_location, sql_fake_name_part  # noqa: E402
+from ..operators.classify import HONORIFICS, MONTHS  # noqa: E402
+from .casenotes import CASE_NOTES_SQL, GAZETTEER_SQL  # noqa: E402
+
+_H = "(" + ", ".join(sql_str(h) for h in HONORIFICS) + ")"
+_M = "(" + ", ".join(sql_str(m) for m in MONTHS) + ")"
+
+
+def _cap(x):
+    return f"coalesce(regexp_matches({x}, '^\\p{{Lu}}\\p{{Ll}}+$'), false)"
+
+
+def _rx(x, p):
+    return f"coalesce(regexp_matches({x}, '{p}'), false)"
+
+
+def _spaced(g):
+    return f"coalesce(length({g}) > 0 AND NOT contains({g}, chr(10)), false)"
+
+
+def _tight(g):
+    return f"coalesce({g} = '', false)"
+
+
+def notes_tagged_cte() -> str:
+    """Case notes, tokens, rule labels (PERSON > DATE > LOCATION) as rows, via lag / lead."""
+    lead = ", ".join([f"lead(token, {k}) OVER w AS tp{k}" for k in range(1, 5)]
+                     + [f"lead(gap, {k}) OVER w AS gp{k}" for k in range(1, 5)])
+    d12 = lambda x: _rx(x, r"^\d{1,2}$")
+    d4 = lambda x: _rx(x, r"^\d{4}$")
+    yy = lambda x: _rx(x, r"^(\d{2}|\d{4})$")
+    mon = lambda x: f"coalesce({x} IN {_M}, false)"
+    tight4 = " AND ".join(_tight(f"gp{k}") for k in range(1, 5))
+    cue = (f"(coalesce(tm1 = ':' AND lower(tm2) = 'name', false) OR coalesce(tm1 = '.' AND tm2 IN {_H}, false) "
+           f"OR coalesce(tm1 IN {_H}, false))")
+    plen = (f"CASE WHEN {cue} AND {_cap('token')} AND NOT contains(gap, chr(10)) THEN 1 + "
+            f"CASE WHEN {_cap('tp1')} AND {_spaced('gp1')} THEN 1 + "
+            f"CASE WHEN {_cap('tp2')} AND {_spaced('gp2')} THEN 1 + "
+            f"CASE WHEN {_cap('tp3')} AND {_spaced('gp3')} THEN 1 ELSE 0 END ELSE 0 END ELSE 0 END ELSE 0 END")
+    slash = f"{d12('token')} AND coalesce(tp1 = '/', false) AND {d12('tp2')} AND coalesce(tp3 = '/', false) AND {yy('tp4')} AND {tight4}"
+    iso = f"{d4('token')} AND coalesce(tp1 = '-', false) AND {d12('tp2')} AND coalesce(tp3 = '-', false) AND {d12('tp4')} AND {tight4}"
+    mdyc = (f"{mon('token')} AND {d12('tp1')} AND coalesce(tp2 = ',', false) AND {d4('tp3')} AND {_spaced('gp1')} "
+            f"AND {_tight('gp2')} AND {_spaced('gp3')}")
+    mdy = f"{mon('token')} AND {d12('tp1')} AND {d4('tp2')} AND {_spaced('gp1')} AND {_spaced('gp2')}"
+    dmy = f"{d12('token')} AND {mon('tp1')} AND {d4('tp2')} AND {_spaced('gp1')} AND {_spaced('gp2')}"
+    dlen = f"CASE WHEN ({slash}) OR ({iso}) THEN 5 WHEN {mdyc} THEN 4 WHEN ({mdy}) OR ({dmy}) THEN 3 ELSE 0 END"
+
+    def bio(col, maxlen, ent):
+        cov = " OR ".join(f"coalesce(lag({col}, {k}) OVER w > {k}, false)" for k in range(1, maxlen))
+        return f"CASE WHEN {cov} THEN 'I-{ent}' WHEN {col} > 0 THEN 'B-{ent}' ELSE 'O' END"
+    return (f"notes AS ({CASE_NOTES_SQL}), gaz AS ({GAZETTEER_SQL}), {tokens_cte('SELECT doc_id, text FROM notes', 'nt')}, "
+            f"ntg AS (SELECT nt.*, b.gap FROM nt JOIN nt_b b ON b.doc_id = nt.doc_id AND CAST(b.pos AS INTEGER) = nt.pos), "
+            f"r1 AS (SELECT *, lag(token, 1) OVER w AS tm1, lag(token, 2) OVER w AS tm2, {lead} FROM ntg "
+            f"WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), "
+            f"r2 AS (SELECT doc_id, pos, token, start, \"end\", gap, {plen} AS plen, {dlen} AS dlen FROM r1), "
+            f"r3 AS (SELECT doc_id, pos, token, start, \"end\", gap, {bio('plen', 4, 'PERSON')} AS lp, "
+            f"{bio('dlen', 5, 'DATE')} AS ld FROM r2 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), "
+            f"r4 AS (SELECT doc_id, pos, token, start, \"end\", gap, CASE WHEN lp <> 'O' THEN lp ELSE ld END AS lm FROM r3), "
+            f"tagged AS (SELECT doc_id, pos, token, start, \"end\", gap, CASE WHEN lm <> 'O' THEN lm "
+            f"WHEN {_rx('token', '^\\p{Lu}')} AND lower(token) IN (SELECT entry FROM gaz) THEN 'B-LOCATION' "
+            f"ELSE 'O' END AS label FROM r4)")
+
+
+def mentions_cte() -> str:
+    return (f"{notes_tagged_cte()}, "
+            f"e1 AS (SELECT *, CASE WHEN label = 'O' THEN 'O' ELSE substr(label, 3) END AS et, "
+            f"lag(CASE WHEN label = 'O' THEN 'O' ELSE substr(label, 3) END) OVER (PARTITION BY doc_id ORDER BY pos) AS pet "
+            f"FROM tagged), "
+            f"e2 AS (SELECT *, sum(CASE WHEN pos > 0 AND label LIKE 'I-%' AND pet = et THEN 0 ELSE 1 END) "
+            f"OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM e1), "
+            f"e3 AS (SELECT doc_id, run, arg_min(label, pos) AS head, min(pos) AS first_pos, "
+            f"string_agg(CASE WHEN pos > fp AND gap <> '' THEN ' ' ELSE '' END || token, '' ORDER BY pos) AS value, "
+            f"CAST(min(start) AS INTEGER) AS start, CAST(max(\"end\") AS INTEGER) AS \"end\" "
+            f"FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id, run) AS fp FROM e2) GROUP BY doc_id, run), "
+            f"ments AS (SELECT doc_id, substr(head, 3) AS entity, CAST(row_number() OVER (PARTITION BY doc_id, "
+            f"substr(head, 3) ORDER BY first_pos) - 1 AS INTEGER) AS ord, value, start, \"end\" FROM e3 "
+            f"WHERE head LIKE 'B-%' AND substr(head, 3) IN ('PERSON', 'LOCATION', 'DATE'))")
+
+
+_PARSE = ("CAST(coalesce(try_strptime({v}, '%m/%d/%Y'), try_strptime({v}, '%Y-%m-%d'), "
+          "try_strptime({v}, '%B %-d, %Y')) AS DATE)")
+
+
+def maps_cte() -> str:
+    name_parts = (
+        "np AS (SELECT doc_id, ord, value, unnest(range(0, len(p))) AS i, unnest(p) AS part, len(p) AS n FROM "
+        "(SELECT doc_id, ord, value, list_filter(string_split_regex(trim(value), '\\s+'), lambda x: x <> '') AS p "
+        "FROM ments WHERE entity = 'PERSON')), "
+        "na AS (SELECT doc_id, lower(part) AS key, value, ord, "
+        "CASE WHEN n = 1 THEN 'last' WHEN i = 0 THEN 'first' WHEN i = n - 1 THEN 'last' ELSE 'middle' END AS role, "
+        "CASE WHEN n = 1 THEN 1 WHEN i = n - 1 THEN 1 WHEN i = 0 THEN 0 ELSE i + 1 END AS step FROM np), "
+        "nw AS (SELECT doc_id, key, arg_max(value, ord * 1000 + step) AS value, arg_max(role, ord * 1000 + step) AS role "
+        "FROM na GROUP BY doc_id, key)")
+    return (f"{mentions_cte()}, {name_parts}, "
+            f"name_map AS (SELECT doc_id, key AS real, {sql_fake_name_part('value', 'role', 'doc_id', SEED)} AS fake FROM nw), "
+            f"locs AS (SELECT doc_id, value, min(ord) AS first_ord FROM ments WHERE entity = 'LOCATION' GROUP BY doc_id, value), "
+            f"location_map AS (SELECT doc_id, value AS real, {sql_fake_location('value', 'doc_id', SEED)} AS fake, first_ord "
+            f"FROM locs), "
+            f"dts AS (SELECT DISTINCT doc_id, value FROM ments WHERE entity = 'DATE'), "
+            f"date_map AS (SELECT doc_id, value AS real, {sql_fake_date('value', 'doc_id', SEED, _PARSE.format(v='value'))} "
+            f"AS fake FROM dts)")
+
+
+def _entries(table: str, order: str) -> str:
+    return (f"(SELECT doc_id, list({{'real': real, 'fake': fake}} ORDER BY {order}) AS ent FROM {table} "
+            f"GROUP BY doc_id)")
+
+
+def _alt(ent: str, flags: str = "") -> str:
+    return (f"'{flags}' || array_to_string(list_transform({ent}, lambda e: '\\Q' || e.real || '\\E'), '|')")
+
+
+def _lookup(ent: str, key: str) -> str:
+    return f"(list_filter({ent}, lambda e: e.real = {key}))[1].fake"
+
+
+def rewrite_ctes() -> str:
+    """PERSON guarded -> LOCATION -> DATE, as rows of (doc_id, t1, t2, t3)."""
+    by_len = "length(real) DESC, real"
+    spans = ("ps AS (SELECT doc_id, list({'s': start, 'e': \"end\"}) AS sp FROM tagged "
+             "WHERE label IN ('B-PERSON', 'I-PERSON') GROUP BY doc_id)")
+    w1 = (f"w1 AS (SELECT n.doc_id, n.text, nm.ent AS nent, ps.sp, lm.ent AS lent, dm.ent AS dent FROM notes n "
+          f"LEFT JOIN {_entries('name_map', by_len)} nm ON nm.doc_id = n.doc_id "
+          f"LEFT JOIN ps ON ps.doc_id = n.doc_id "
+          f"LEFT JOIN {_entries('location_map', by_len)} lm ON lm.doc_id = n.doc_id "
+          f"LEFT JOIN {_entries('date_map', by_len)} dm ON dm.doc_id = n.doc_id)")
+    g1 = (f"g1 AS (SELECT *, string_split_regex(text, {_alt('nent', '(?i)')}) AS g, "
+          f"regexp_extract_all(text, {_alt('nent', '(?i)')}) AS m FROM w1 WHERE len(nent) > 0)")
+    s1 = ("s1 AS (SELECT doc_id, array_to_string(list_transform(g, lambda x, i: x || CASE WHEN i > len(m) THEN '' "
+          "WHEN len(list_filter(coalesce(sp, []), lambda s: s.s <= st AND st < s.e)) > 0 "
+          f"THEN coalesce({_lookup('nent', 'lower(m[i])')}, m[i]) ELSE m[i] END), '') AS t1 FROM "
+          "(SELECT *, 0 AS dummy FROM g1) q, LATERAL (SELECT 1) z)")
+    return f"{spans}, {w1}, {g1}"
+
+
+def casenote_sql() -> dict[str, str]:
+    return {
+        "rule_tag": f"WITH {notes_tagged_cte()} SELECT doc_id, pos, token, label FROM tagged WHERE label <> 'O'",
+        "bio_spans": f"WITH {mentions_cte()} SELECT doc_id, entity, ord, value, start, \"end\" FROM ments",
+        "entities_wide": (
+            f"WITH {mentions_cte()} SELECT n.doc_id, "
+            + ", ".join(f"coalesce((SELECT string_agg(value, '|' ORDER BY ord) FROM ments m WHERE m.doc_id = n.doc_id "
+                        f"AND m.entity = '{e}'), '') AS {c}"
+                        for e, c in (("PERSON", "names"), ("LOCATION", "locations"), ("DATE", "dates")))
+            + " FROM notes n"),
+        "name_map": f"WITH {maps_cte()} SELECT doc_id, real, fake FROM name_map",
+        "location_map": f"WITH {maps_cte()} SELECT doc_id, real, fake FROM location_map",
+        "date_map": (f"WITH {maps_cte()} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "
+                     f"length(real) DESC, real) - 1 AS INTEGER) AS rank, real, fake FROM date_map"),
+        "replace_literal": (
+            f"WITH {maps_cte()} SELECT n.doc_id, CASE WHEN l.ent IS NULL THEN n.text ELSE "
+            f"list_reduce(l.ent, lambda acc, e: replace(acc, e.real, e.fake), n.text) END AS text_out "
+            f"FROM notes n LEFT JOIN {_entries('location_map', 'first_ord')} l ON l.doc_id = n.doc_id"),
+        "label_encode": (
+            f"WITH {notes_tagged_cte()} SELECT n.doc_id, coalesce(string_agg(CAST(CASE label " +
+            " ".join(f"WHEN '{k}' THEN {v}" for k, v in LABEL2ID.items()) +
+            " END AS VARCHAR), ' ' ORDER BY pos), '') AS targets_text FROM notes n LEFT JOIN tagged t ON t.doc_id = n.doc_id "
+            "GROUP BY n.doc_id"),
+    }

@@ -64,6 +64,7 @@ def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(contact_queries())
     out.update(token_queries())
+    out.update(casenote_queries())
     return out
 
 
@@ -188,3 +189,109 @@ def token_queries() -> dict[str, Query]:
         "merge_windows": q_merge_windows,
         "attach_documents": q_attach_documents,
     }
+
+
+# ------------------------------------------------------------------ case notes: entities, maps, rewrite
+
+from ..config import RedactionConfig  # noqa: E402
+from ..functions.rewrite import replace_guarded, replace_sequential  # noqa: E402
+from ..operators.classify import RuleTagger  # noqa: E402
+from ..operators.mapping import entity_spans  # noqa: E402
+from ..operators.redact import build_maps, detect, redact, rewrite  # noqa: E402
+from ..operators.spans import entity_lists, explode_mentions  # noqa: E402
+from ..operators.tokens import assign_batches, encode_labels  # noqa: E402
+from .casenotes import case_notes, gazetteer  # noqa: E402
+
+CFG = RedactionConfig(seed=SEED)
+
+
+def notes_detected(spark, sf_dir):
+    return detect(case_notes(spark, sf_dir), RuleTagger(gazetteer(spark, sf_dir)))
+
+
+def notes_mapped(spark, sf_dir):
+    return build_maps(notes_detected(spark, sf_dir), cfg=CFG)
+
+
+def q_rule_tag(spark, sf_dir):
+    d = notes_detected(spark, sf_dir)
+    z = d.select("doc_id", F.posexplode(F.arrays_zip("tokens", "labels")).alias("pos", "z"))
+    return z.where(F.col("z.labels") != "O").select("doc_id", "pos", F.col("z.tokens.token").alias("token"),
+                                                     F.col("z.labels").alias("label"))
+
+
+def q_bio_spans(spark, sf_dir):
+    return explode_mentions(notes_detected(spark, sf_dir))
+
+
+def q_entities_wide(spark, sf_dir):
+    d = notes_detected(spark, sf_dir)
+    return d.select("doc_id", *[F.array_join(entity_lists(F.col("mentions"), e), "|").alias(n)
+                                for e, n in (("PERSON", "names"), ("LOCATION", "locations"), ("DATE", "dates"))])
+
+
+def _explode_map(df, col):
+    return df.select("doc_id", F.posexplode(col).alias("rank", "e")) \
+        .select("doc_id", "rank", F.col("e.real").alias("real"), F.col("e.fake").alias("fake"))
+
+
+def q_name_map(spark, sf_dir):
+    return _explode_map(notes_mapped(spark, sf_dir), "name_map").drop("rank")
+
+
+def q_location_map(spark, sf_dir):
+    return _explode_map(notes_mapped(spark, sf_dir), "location_map").drop("rank")
+
+
+def q_date_map(spark, sf_dir):
+    return _explode_map(notes_mapped(spark, sf_dir), "date_map")
+
+
+def q_replace_literal(spark, sf_dir):
+    d = notes_mapped(spark, sf_dir)
+    return d.select("doc_id", replace_sequential(F.col("text"), F.col("location_map")).alias("text_out"))
+
+
+def q_replace_guarded(spark, sf_dir):
+    d = notes_mapped(spark, sf_dir)
+    return d.select("doc_id", replace_guarded(F.col("text"), F.col("name_map"), F.col("person_spans"))
+                    .alias("text_out"))
+
+
+def q_redact_documents(spark, sf_dir):
+    return redact(case_notes(spark, sf_dir), RuleTagger(gazetteer(spark, sf_dir)), cfg=CFG) \
+        .select("doc_id", "redacted_text")
+
+
+def q_label_encode(spark, sf_dir):
+    d = notes_detected(spark, sf_dir)
+    return d.select("doc_id", F.array_join(F.transform(encode_labels(F.col("labels")), lambda x: x.cast("string")),
+                                           " ").alias("targets_text"))
+
+
+def q_training_samples(spark, sf_dir):
+    d = notes_detected(spark, sf_dir)
+    w = to_windows(d.withColumn("tags", F.col("labels")), 510, 0, keep=("labels",))
+    w = w.withColumn("tags", F.slice("labels", F.col("first_pos") + 1, 510)).drop("labels")
+    s = prepare_samples(w, max_len=512, tags="tags")
+    s = assign_batches(s)
+    return s.select("doc_id", "window_no", "shard", "batch_no",
+                    F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
+                    F.array_join(F.transform(F.filter("targets", lambda x: x != 0), lambda x: x.cast("string")), " ")
+                    .alias("targets_text"))
+
+
+def casenote_queries() -> dict[str, Query]:
+    return {
+        "rule_tag": q_rule_tag,
+        "bio_spans": q_bio_spans,
+        "entities_wide": q_entities_wide,
+        "name_map": q_name_map,
+        "location_map": q_location_map,
+        "date_map": q_date_map,
+        "replace_literal": q_replace_literal,
+        "replace_guarded": q_replace_guarded,
+        "redact_documents": q_redact_documents,
+        "label_encode": q_label_encode,
+        "training_samples": q_training_samples,
+    }
