@@ -6,7 +6,7 @@ from __future__ import annotations
 from ..config import DEFAULT_SEED, LABEL2ID
 from ..functions.fakes import SQL_FAKERS
 from ..functions.patterns import RE2_PATTERNS
-from ..functions.hashing import sql_str
+from ..functions.hashing import sql_hash32, sql_hash_key, sql_str
 from ..sources.tables import CONTACT_CORPUS_SQL, DOCUMENTS_SQL, PAGE_TEXTS_SQL
 
 SEED = DEFAULT_SEED
@@ -284,13 +284,27 @@ def rewrite_ctes() -> str:
           f"LEFT JOIN ps ON ps.doc_id = n.doc_id "
           f"LEFT JOIN {_entries('location_map', by_len)} lm ON lm.doc_id = n.doc_id "
           f"LEFT JOIN {_entries('date_map', by_len)} dm ON dm.doc_id = n.doc_id)")
-    g1 = (f"g1 AS (SELECT *, string_split_regex(text, {_alt('nent', '(?i)')}) AS g, "
-          f"regexp_extract_all(text, {_alt('nent', '(?i)')}) AS m FROM w1 WHERE len(nent) > 0)")
-    s1 = ("s1 AS (SELECT doc_id, array_to_string(list_transform(g, lambda x, i: x || CASE WHEN i > len(m) THEN '' "
-          "WHEN len(list_filter(coalesce(sp, []), lambda s: s.s <= st AND st < s.e)) > 0 "
-          f"THEN coalesce({_lookup('nent', 'lower(m[i])')}, m[i]) ELSE m[i] END), '') AS t1 FROM "
-          "(SELECT *, 0 AS dummy FROM g1) q, LATERAL (SELECT 1) z)")
-    return f"{spans}, {w1}, {g1}"
+    g1 = (f"g1 AS (SELECT doc_id, text, string_split_regex(text, {_alt('nent', '(?i)')}) AS g, "
+          f"regexp_extract_all(text, {_alt('nent', '(?i)')}) AS m, nent FROM w1 WHERE len(nent) > 0)")
+    u1 = ("u1 AS (SELECT doc_id, i, gp, m[i] AS mt, "
+          "sum(length(gp) + coalesce(length(m[i]), 0)) OVER (PARTITION BY doc_id ORDER BY i "
+          "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - coalesce(length(m[i]), 0) AS st, nent FROM "
+          "(SELECT doc_id, m, nent, unnest(range(1, len(g) + 1)) AS i, unnest(g) AS gp FROM g1))")
+    v1 = (f"v1 AS (SELECT doc_id, string_agg(gp || CASE WHEN mt IS NULL THEN '' "
+          f"WHEN EXISTS (SELECT 1 FROM tagged t WHERE t.doc_id = u1.doc_id AND t.label IN ('B-PERSON', 'I-PERSON') "
+          f"AND t.start <= u1.st AND u1.st < t.\"end\") THEN coalesce({_lookup('nent', 'lower(mt)')}, mt) ELSE mt END, "
+          f"'' ORDER BY i) AS t1 FROM u1 GROUP BY doc_id)")
+    r1 = "r1w AS (SELECT w1.*, coalesce(v1.t1, w1.text) AS t1 FROM w1 LEFT JOIN v1 ON v1.doc_id = w1.doc_id)"
+
+    def single_pass(src, col, ent, flags, norm):
+        pat = _alt(ent, flags)
+        return (f"(CASE WHEN coalesce(len({ent}), 0) = 0 THEN {col} ELSE array_to_string(list_transform("
+                f"string_split_regex({col}, {pat}), lambda x, i: x || CASE WHEN i > len(regexp_extract_all({col}, {pat})) "
+                f"THEN '' ELSE coalesce((list_filter({ent}, lambda e: {norm('e.real')} = "
+                f"{norm(f'regexp_extract_all({col}, {pat})[i]')}))[1].fake, regexp_extract_all({col}, {pat})[i]) END), '') END)")
+    r2 = f"r2w AS (SELECT *, {single_pass('r1w', 't1', 'lent', '', lambda x: x)} AS t2 FROM r1w)"
+    r3 = f"r3w AS (SELECT *, {single_pass('r2w', 't2', 'dent', '(?i)', lambda x: f'lower({x})')} AS t3 FROM r2w)"
+    return f"{spans}, {w1}, {g1}, {u1}, {v1}, {r1}, {r2}, {r3}"
 
 
 def casenote_sql() -> dict[str, str]:
@@ -311,6 +325,19 @@ def casenote_sql() -> dict[str, str]:
             f"WITH {maps_cte()} SELECT n.doc_id, CASE WHEN l.ent IS NULL THEN n.text ELSE "
             f"list_reduce(l.ent, lambda acc, e: replace(acc, e.real, e.fake), n.text) END AS text_out "
             f"FROM notes n LEFT JOIN {_entries('location_map', 'first_ord')} l ON l.doc_id = n.doc_id"),
+        "replace_guarded": f"WITH {maps_cte()}, {rewrite_ctes()} SELECT doc_id, t1 AS text_out FROM r1w",
+        "redact_documents": (
+            f"WITH {maps_cte()}, {rewrite_ctes()}, "
+            + redact_sql(("email", "phone", "url"), "SELECT doc_id, t3 AS text FROM r3w").removeprefix("WITH ")),
+        "training_samples": (
+            f"WITH {notes_tagged_cte()}, tw AS (SELECT doc_id, CAST(pos // 510 AS INTEGER) AS window_no, pos, label "
+            f"FROM tagged), ws AS (SELECT doc_id, window_no, CAST(least(count(*), 512) AS INTEGER) AS mask_sum, "
+            f"coalesce(string_agg(CAST(CASE label " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LABEL2ID.items())
+            + " END AS VARCHAR), ' ' ORDER BY pos) FILTER (WHERE label <> 'O'), '') AS targets_text FROM tw "
+            "GROUP BY doc_id, window_no), "
+            f"wsh AS (SELECT *, CAST({sql_hash32(sql_hash_key('doc_id', 'window_no'))} % 1024 AS INTEGER) AS shard FROM ws) "
+            "SELECT doc_id, window_no, shard, CAST((row_number() OVER (PARTITION BY shard ORDER BY doc_id, window_no) - 1) "
+            "// 8 AS INTEGER) AS batch_no, mask_sum, targets_text FROM wsh"),
         "label_encode": (
             f"WITH {notes_tagged_cte()} SELECT n.doc_id, coalesce(string_agg(CAST(CASE label " +
             " ".join(f"WHEN '{k}' THEN {v}" for k, v in LABEL2ID.items()) +
