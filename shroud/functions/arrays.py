@@ -29,7 +29,7 @@ def let(value: Column, body) -> Column:
 def at(values: Column, i) -> Column:
     """0-based element, NULL when ``i`` is outside the array (never an error, never from the end)."""
     i = i if isinstance(i, Column) else F.lit(i)
-    return F.when((i >= 0) & (i < F.size(values)), values.getItem(i))
+    return F.when((i >= 0) & (i < F.size(values)), values[i])
 
 
 def prefix_sum(values: Column) -> Column:
@@ -44,7 +44,7 @@ def prefix_sum(values: Column) -> Column:
 
         def one_round(acc, k):
             d = F.pow(F.lit(2), k).cast("int")
-            return F.transform(acc, lambda x, i: x + F.when(i >= d, acc.getItem(i - d)).otherwise(F.lit(0)))
+            return F.transform(acc, lambda x, i: x + F.when(i >= d, acc[i - d]).otherwise(F.lit(0)))
 
         return F.when(rounds == 0, v).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), v, one_round))
 

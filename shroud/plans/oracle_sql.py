@@ -56,6 +56,7 @@ def all_sql() -> dict[str, str]:
     out.update(contact_sql())
     out.update(token_sql())
     out.update(casenote_sql())
+    out.update(io_sql())
     return out
 
 
@@ -344,3 +345,18 @@ def casenote_sql() -> dict[str, str]:
             " END AS VARCHAR), ' ' ORDER BY pos), '') AS targets_text FROM notes n LEFT JOIN tagged t ON t.doc_id = n.doc_id "
             "GROUP BY n.doc_id"),
     }
+
+
+def io_sql() -> dict[str, str]:
+    return {
+        "pages_to_documents": (
+            "SELECT conv_id AS doc_id, coalesce(string_agg(text || chr(10), '' ORDER BY turn) "
+            "FILTER (WHERE length(text) > 0), '') AS text FROM conversations GROUP BY conv_id"),
+        "paragraphs": (
+            f"WITH r AS ({redact_sql(('email',), DOCUMENTS_SQL)}) SELECT doc_id, "
+            f"CAST(unnest(range(0, len(string_split(redacted_text, chr(10))))) AS INTEGER) AS para_no, "
+            f"unnest(string_split(redacted_text, chr(10))) AS para FROM r"),
+        "source_union": (
+            f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, 'documents' AS format FROM documents UNION ALL "
+            f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, 'pages' AS format FROM ({PAGE_TEXTS_SQL}) p"),
+    }

@@ -65,6 +65,7 @@ def all_queries() -> dict[str, Query]:
     out.update(contact_queries())
     out.update(token_queries())
     out.update(casenote_queries())
+    out.update(io_queries())
     return out
 
 
@@ -295,3 +296,34 @@ def casenote_queries() -> dict[str, Query]:
         "label_encode": q_label_encode,
         "training_samples": q_training_samples,
     }
+
+
+# ------------------------------------------------------------------ sources and sinks
+
+from ..sources.files import pages_to_documents, union_formats  # noqa: E402
+from ..sources.sinks import paragraphs  # noqa: E402
+
+
+def q_pages_to_documents(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    pages = conv.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"),
+                        F.col("text").alias("page_text"))
+    return pages_to_documents(pages)
+
+
+def q_paragraphs(spark, sf_dir):
+    red = redact_kind(documents(spark, sf_dir), "email", seed=SEED)
+    return paragraphs(red)
+
+
+def q_source_union(spark, sf_dir):
+    return union_formats(documents=read_table(spark, sf_dir, "documents", "doc_id", "text"),
+                         pages=page_texts(spark, sf_dir))
+
+
+def io_queries() -> dict[str, Query]:
+    return {
+        "pages_to_documents": q_pages_to_documents,
+        "paragraphs": q_paragraphs,
+        "source_union": q_source_union,
+    }
