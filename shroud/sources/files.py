@@ -16,8 +16,8 @@ def read_text_dir(spark: SparkSession, path: str, suffix: str = "*.txt") -> Data
     (text-mode reading does the same). Case-sensitive suffix, not recursive; hidden files are
     skipped by Spark's listing; a 0-byte file yields no row.
     """
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", suffix)
-          .option("recursiveFileLookup", False).text(path))
+    df = (spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", False)
+          .text(path, wholetext=True))
     return df.select(F.col("_metadata.file_name").alias("doc_id"),
                      F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
@@ -59,7 +59,7 @@ def read_json_object(spark: SparkSession, path: str) -> DataFrame:
 
 def read_label_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """A label -> id JSON object as a ``(label, id)`` table."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,int>")).alias("label", "id"))
 
 
