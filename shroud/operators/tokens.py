@@ -26,11 +26,18 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataF
 
 
 def explode_tokens(df: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """Long form ``(key, pos, token, start, end)``."""
+    """Long form ``(key, pos, token, start, end)`` of a stored tokens column."""
     return (df.select(key, F.posexplode(tokens).alias("pos", "t"))
             .select(key, "pos", "t.token", "t.start", "t.end"))
 
 
+def token_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Long form ``(key, pos, token, start, end)`` straight from the text; the tokenizer runs
+    inside the generator (cheaper than exploding a freshly computed tokens column)."""
+    return (df.select(key, F.posexplode(tokenize(F.col(text))).alias("pos", "t"))
+            .select(key, "pos", "t.token", "t.start", "t.end"))
+
+
 def to_windows(df: DataFrame, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP, key: str = "doc_id",
                tokens: str = "tokens", keep: tuple = ()) -> DataFrame:
     """One row per window: ``(key, window_no, tokens)``; each row holds at most ``size`` tokens,

@@ -72,8 +72,8 @@ def all_queries() -> dict[str, Query]:
 # ------------------------------------------------------------------ tokens, windows, samples
 
 from ..config import labels_by_id  # noqa: E402
-from ..functions.arrays import add_special, strip_edges  # noqa: E402
-from ..operators.tokens import (build_vocabulary, explode_tokens, prepare_samples, to_windows,  # noqa: E402
+from ..functions.arrays import add_special, strip_edges, windows  # noqa: E402
+from ..operators.tokens import (build_vocabulary, prepare_samples, to_windows, token_rows,  # noqa: E402
                                 with_tokens)
 from ..operators.spans import merge_windows  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
@@ -86,7 +86,7 @@ def doc_tokens(spark, sf_dir):
 
 
 def q_tokenize_offsets(spark, sf_dir):
-    return explode_tokens(doc_tokens(spark, sf_dir))
+    return token_rows(documents(spark, sf_dir))
 
 
 def q_special_tokens(spark, sf_dir):
@@ -98,16 +98,16 @@ def q_special_tokens(spark, sf_dir):
 
 
 def _window_rows(spark, sf_dir):
+    """Windows of every configuration in one pass over the tokens (one generator)."""
     d = doc_tokens(spark, sf_dir)
-    parts = []
-    for size, overlap, max_len in WINDOW_CONFIGS:
-        parts.append(to_windows(d, size, overlap).select(
+
+    def tagged(size, overlap, max_len):
+        return F.transform(windows(F.col("tokens"), size, overlap), lambda w, i: F.struct(
             F.lit(size).alias("win_size"), F.lit(overlap).alias("win_overlap"), F.lit(max_len).alias("max_len"),
-            "doc_id", "window_no", "tokens"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            i.alias("window_no"), w.alias("tokens")))
+    allw = F.concat(*[tagged(*cfg) for cfg in WINDOW_CONFIGS])
+    return d.select("doc_id", F.explode(allw).alias("w")).select(
+        "w.win_size", "w.win_overlap", "w.max_len", "doc_id", "w.window_no", "w.tokens")
 
 
 def q_token_windows(spark, sf_dir):
@@ -132,7 +132,7 @@ def q_pad_truncate_mask(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    vocab = build_vocabulary(explode_tokens(doc_tokens(spark, sf_dir)), min_count=2)
+    vocab = build_vocabulary(token_rows(documents(spark, sf_dir)), min_count=2)
     return vocab.checkpoint()  # reusable artefact: cut lineage before counting and joining it
 
 
@@ -199,13 +199,21 @@ from ..functions.rewrite import replace_guarded, replace_sequential  # noqa: E40
 from ..operators.classify import RuleTagger  # noqa: E402
 from ..operators.mapping import entity_spans  # noqa: E402
 from ..operators.redact import build_maps, detect, redact, rewrite  # noqa: E402
-from ..operators.spans import entity_lists, explode_mentions  # noqa: E402
+from ..operators.mapping import date_entries, location_entries, name_entries  # noqa: E402
+from ..operators.spans import bio_mentions, entity_lists, mention_rows  # noqa: E402
+
+ENTS = ("PERSON", "LOCATION", "DATE")
 from ..operators.tokens import assign_batches, encode_labels  # noqa: E402
 from .casenotes import case_notes, gazetteer  # noqa: E402
 
 CFG = RedactionConfig(seed=SEED)
 
 
+def notes_labelled(spark, sf_dir):
+    """Case notes with ``tokens`` and rule ``labels``."""
+    return RuleTagger(gazetteer(spark, sf_dir)).tag(with_tokens(case_notes(spark, sf_dir)))
+
+
 def notes_detected(spark, sf_dir):
     return detect(case_notes(spark, sf_dir), RuleTagger(gazetteer(spark, sf_dir)))
 
@@ -215,37 +223,41 @@ def notes_mapped(spark, sf_dir):
 
 
 def q_rule_tag(spark, sf_dir):
-    d = notes_detected(spark, sf_dir)
+    d = notes_labelled(spark, sf_dir)
     z = d.select("doc_id", F.posexplode(F.arrays_zip("tokens", "labels")).alias("pos", "z"))
     return z.where(F.col("z.labels") != "O").select("doc_id", "pos", F.col("z.tokens.token").alias("token"),
                                                      F.col("z.labels").alias("label"))
 
 
 def q_bio_spans(spark, sf_dir):
-    return explode_mentions(notes_detected(spark, sf_dir))
+    return mention_rows(notes_labelled(spark, sf_dir))
 
 
 def q_entities_wide(spark, sf_dir):
-    d = notes_detected(spark, sf_dir)
+    d = notes_labelled(spark, sf_dir).withColumn("mentions", bio_mentions(F.col("tokens"), F.col("labels"), ENTS))
     return d.select("doc_id", *[F.array_join(entity_lists(F.col("mentions"), e), "|").alias(n)
                                 for e, n in (("PERSON", "names"), ("LOCATION", "locations"), ("DATE", "dates"))])
 
 
-def _explode_map(df, col):
-    return df.select("doc_id", F.posexplode(col).alias("rank", "e")) \
+def _map_rows(spark, sf_dir, build, with_rank=False):
+    """Long form of one per-document map; the map is built inside the generator (see mention_rows)."""
+    d = notes_labelled(spark, sf_dir)
+    entries = build(bio_mentions(F.col("tokens"), F.col("labels"), ENTS))
+    out = d.select("doc_id", F.posexplode(entries).alias("rank", "e")) \
         .select("doc_id", "rank", F.col("e.real").alias("real"), F.col("e.fake").alias("fake"))
+    return out if with_rank else out.drop("rank")
 
 
 def q_name_map(spark, sf_dir):
-    return _explode_map(notes_mapped(spark, sf_dir), "name_map").drop("rank")
+    return _map_rows(spark, sf_dir, lambda m: name_entries(m, F.col("doc_id"), SEED))
 
 
 def q_location_map(spark, sf_dir):
-    return _explode_map(notes_mapped(spark, sf_dir), "location_map").drop("rank")
+    return _map_rows(spark, sf_dir, lambda m: location_entries(m, F.col("doc_id"), SEED))
 
 
 def q_date_map(spark, sf_dir):
-    return _explode_map(notes_mapped(spark, sf_dir), "date_map")
+    return _map_rows(spark, sf_dir, lambda m: date_entries(m, F.col("doc_id"), SEED, CFG.ref_date), with_rank=True)
 
 
 def q_replace_literal(spark, sf_dir):
@@ -265,13 +277,13 @@ def q_redact_documents(spark, sf_dir):
 
 
 def q_label_encode(spark, sf_dir):
-    d = notes_detected(spark, sf_dir)
+    d = notes_labelled(spark, sf_dir)
     return d.select("doc_id", F.array_join(F.transform(encode_labels(F.col("labels")), lambda x: x.cast("string")),
                                            " ").alias("targets_text"))
 
 
 def q_training_samples(spark, sf_dir):
-    d = notes_detected(spark, sf_dir)
+    d = notes_labelled(spark, sf_dir)
     w = to_windows(d.withColumn("tags", F.col("labels")), 510, 0, keep=("labels",))
     w = w.withColumn("tags", F.slice("labels", F.col("first_pos") + 1, 510)).drop("labels")
     s = prepare_samples(w, max_len=512, tags="tags")
