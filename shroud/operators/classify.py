@@ -161,36 +161,86 @@ class RuleTagger:
     """Detector: ``tag(df)`` adds ``labels`` for ``tokens`` of ``text``.
 
     The gazetteer (a one-column table of lower-case entries) is inlined as a hash-set literal
-    when its checked size is at most ``inline_limit`` entries. Larger gazetteers are matched by
-    a join instead (candidate token runs -> gazetteer -> hits regrouped per document).
+    when its checked size is at most ``inline_limit`` entries: then tagging is one row-local
+    expression. A larger gazetteer is matched by a join instead: candidate token runs are
+    exploded, joined to the gazetteer (broadcast only below ``broadcast_limit`` checked rows,
+    otherwise a shuffle join with AQE skew splitting), regrouped per document and merged back.
     """
 
-    def __init__(self, gazetteer: DataFrame | None = None, entry_col: str = "entry", inline_limit: int = 50_000):
+    def __init__(self, gazetteer: DataFrame | None = None, entry_col: str = "entry", inline_limit: int = 50_000,
+                 broadcast_limit: int = 2_000_000, key: str = "doc_id"):
         self.gazetteer = gazetteer
         self.entry_col = entry_col
         self.inline_limit = inline_limit
+        self.broadcast_limit = broadcast_limit
+        self.key = key
         self._entries: list[str] | None = None
+        self._inline: bool | None = None
         self._max_tokens = 1
 
+    def _entries_df(self) -> DataFrame:
+        return (self.gazetteer.select(F.col(self.entry_col).alias("entry")).where(F.col("entry").isNotNull())
+                .distinct())
+
     def _load(self):
-        if self.gazetteer is None or self._entries is not None:
+        if self.gazetteer is None or self._inline is not None:
             return
-        g = self.gazetteer.select(F.col(self.entry_col).alias("e")).where(F.col("e").isNotNull()).distinct()
-        if not fits(g, self.inline_limit):
-            raise ValueError(f"gazetteer has more than {self.inline_limit} entries; use tag_with_join()")
-        self._entries = sorted(r.e for r in g.collect())
-        import re
-        self._max_tokens = max([len(re.findall(r"\w+|[^\w\s]", e)) for e in self._entries] or [1])
+        g = self._entries_df()
+        self._inline = fits(g, self.inline_limit)
+        if self._inline:
+            self._entries = sorted(r.entry for r in g.collect())
+            import re
+            self._max_tokens = max([len(re.findall(r"\w+|[^\w\s]", e)) for e in self._entries] or [1])
+        else:
+            from ..functions.arrays import TOKEN_PATTERN
+            n = g.select(F.max(F.size(F.regexp_extract_all("entry", F.lit(TOKEN_PATTERN), F.lit(0)))).alias("n"))
+            self._max_tokens = int(n.first().n or 1)
 
     def tag(self, df: DataFrame, text: str = "text", tokens: str = "tokens", out: str = "labels") -> DataFrame:
         self._load()
+        if self.gazetteer is not None and not self._inline:
+            return self._tag_with_join(df, text, tokens, out)
         key = (text, tokens, tuple(self._entries or ()), self._max_tokens)
         if key not in _BUILT:  # building the expression is the costly part; it is reusable
             _BUILT[key] = rule_labels(F.col(text), F.col(tokens), self._entries, self._max_tokens)
         return df.withColumn(out, _BUILT[key])
 
-
-_BUILT: dict = {}
+    def _tag_with_join(self, df: DataFrame, text: str, tokens: str, out: str) -> DataFrame:
+        from .broadcast import join_small
+        k_max, key = self._max_tokens, self.key
+        base = df.withColumn("_base", rule_labels(F.col(text), F.col(tokens)))
+
+        def candidates(tok, lab):
+            x = _Ctx(F.col(text), tok)
+
+            def runs(_, i):
+                items = []
+                for k in range(1, k_max + 1):
+                    ok = _t(x.tok(i).rlike(UPPER_FIRST))
+                    for j in range(k):
+                        ok = ok & _t(at(lab, i + j) == "O")
+                    items.append(F.when(ok, F.struct(i.alias("i"), F.lit(k).alias("k"),
+                                                     F.lower(_surface(x, i, k)).alias("entry"))))
+                return F.array(*items)
+            return F.filter(F.flatten(F.transform(tok, runs)), lambda c: c.isNotNull())
+
+        cands = base.select(key, F.explode(let(F.col(tokens), lambda tok: let(F.col("_base"), lambda lab:
+                                                                              candidates(tok, lab)))).alias("c")) \
+            .select(key, "c.i", "c.k", "c.entry")
+        hits = join_small(cands, self._entries_df(), "entry", "inner", max_rows=self.broadcast_limit) \
+            .groupBy(key, "i").agg(F.max("k").alias("k")) \
+            .groupBy(key).agg(F.collect_list(F.struct("i", "k")).alias("_hits"))
+        joined = base.join(hits, key, "left")
+
+        def loc_len(_, i):
+            return F.aggregate(F.filter(F.coalesce(F.col("_hits"), F.array().cast("array<struct<i:int,k:int>>")),
+                                        lambda h: h.i == i), F.lit(0), lambda a, h: F.greatest(a, h.k))
+        locs = _bio(F.transform(F.col(tokens), loc_len), k_max + 1, "LOCATION")
+        merged = F.zip_with(F.col("_base"), locs, lambda a, b: F.when(a != "O", a).otherwise(b))
+        return joined.withColumn(out, merged).drop("_base", "_hits")
+
+
+_BUILT: dict = {}  # built tagger expressions, reused across DataFrames
 
 
 # ----------------------------------------------------------------------- scores and scorers
