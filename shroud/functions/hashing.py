@@ -29,8 +29,17 @@ def hash32(key: Column, word: int = 0) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1 + 8 * word, 8), 16, 10).cast("long")
 
 
+_POOL_CACHE: dict = {}
+
+
 def pool_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Constant array column; built once per Spark context (building costs one call per value)."""
+    from pyspark import SparkContext
+    key = (tuple(values), id(SparkContext._active_spark_context))
+    col = _POOL_CACHE.get(key)
+    if col is None:
+        col = _POOL_CACHE[key] = F.array(*[F.lit(v) for v in values])
+    return col
 
 
 def pick(values: Sequence[str], h: Column) -> Column:

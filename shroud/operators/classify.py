@@ -266,11 +266,11 @@ def batch_scorer(predict_fn: Callable, batch_size: int = 8, return_type: str = "
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf(return_type)
-    def score(tokens: pd.Series) -> pd.Series:
+    def score(tokens):
         out = []
         vals = [list(t) for t in tokens]
         for s in range(0, len(vals), batch_size):
             out.extend(predict_fn(vals[s:s + batch_size]))
         return pd.Series(out)
-    return score
+    score.__annotations__ = {"tokens": pd.Series, "return": pd.Series}  # real types, not strings
+    return pandas_udf(score, return_type)
