@@ -26,6 +26,23 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+SENTINEL = "\u0000"
+
+
+def split_on(text: Column, pattern: str | Column) -> Column:
+    """``split(text, pattern, -1)``: the n+1 pieces around the n matches.
+
+    Spark's ``split`` compiles its regex on every row. For a literal pattern the matches are
+    first replaced by one sentinel character (``regexp_replace`` keeps the compiled pattern) and
+    the text is split on that character, which needs no regex at all. A row that already holds
+    the sentinel takes the plain path, so the result is always exact.
+    """
+    if not isinstance(pattern, str):
+        return F.split(text, pattern, -1)
+    fast = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(SENTINEL)), SENTINEL, -1)
+    return F.when(F.instr(text, SENTINEL) == 0, fast).otherwise(F.split(text, pattern, -1))
+
+
 def at(values: Column, i) -> Column:
     """0-based element, NULL when ``i`` is outside the array (never an error, never from the end)."""
     i = i if isinstance(i, Column) else F.lit(i)
@@ -54,7 +71,7 @@ def prefix_sum(values: Column) -> Column:
 def tokenize(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
     """ARRAY<STRUCT<token,start,end>>: every token of ``text`` with its character span."""
     def build(toks):
-        gaps = F.split(text, pattern, -1)
+        gaps = split_on(text, pattern)
         steps = F.zip_with(F.slice(gaps, 1, F.size(toks)), toks, lambda g, t: F.length(g) + F.length(t))
         return F.zip_with(toks, prefix_sum(steps), lambda t, e: F.struct(
             t.alias("token"), (e - F.length(t)).alias("start"), e.alias("end")))

@@ -41,10 +41,14 @@ MAX_DATE_TOKENS = 5
 
 
 class _Ctx:
-    """Bound arrays of one row plus index helpers (out-of-range reads give NULL)."""
+    """Bound arrays of one row plus index helpers (out-of-range reads give NULL).
 
-    def __init__(self, text: Column, tokens: Column):
-        self.text, self.tokens = text, tokens
+    ``cls`` holds one shape code per token and ``gap`` one gap code per token, both computed once
+    per row, so the rules compare small strings instead of re-running regexes and substrings.
+    """
+
+    def __init__(self, text: Column, tokens: Column, cls: Column | None = None, gap: Column | None = None):
+        self.text, self.tokens, self.cls_arr, self.gap_arr = text, tokens, cls, gap
 
     def tok(self, i):
         return at(self.tokens, i).token
@@ -55,21 +59,46 @@ class _Ctx:
     def end(self, i):
         return at(self.tokens, i).end
 
-    def gap(self, i):
-        """Text between token i-1 and token i ('' for the first token)."""
-        prev_end = F.coalesce(self.end(i - 1), F.lit(0))
-        return F.substring(self.text, prev_end + 1, self.start(i) - prev_end)
+    def cls(self, i):
+        return at(self.cls_arr, i)
+
+    def g(self, i):
+        return at(self.gap_arr, i)
 
     def tight(self, i):
         """Token i follows token i-1 with no gap."""
-        return F.coalesce(self.start(i) == self.end(i - 1), F.lit(False))
+        return _t(self.g(i) == 0)
 
     def same_line(self, i):
-        return F.coalesce(~self.gap(i).contains("\n"), F.lit(False))
+        return _t(self.g(i) != 2)
 
     def spaced(self, i):
         """Token i follows token i-1 after blanks on the same line."""
-        return F.coalesce((self.start(i) > self.end(i - 1)) & self.same_line(i), F.lit(False))
+        return _t(self.g(i) == 1)
+
+
+# shape codes: '1' one digit, '2' two digits, '4' four digits, 'M' month name, 'C' capitalised word,
+# 'U' other token starting upper case, 'o' anything else
+def shape_codes(tokens: Column) -> Column:
+    def code(t):
+        w = t.token
+        return (F.when(w.rlike(r"^\d{1,2}$"), F.when(F.length(w) == 1, F.lit("1")).otherwise(F.lit("2")))
+                .when(w.rlike(r"^\d{4}$"), F.lit("4"))
+                .when(w.isin(*MONTHS), F.lit("M"))
+                .when(w.rlike(CAP_WORD), F.lit("C"))
+                .when(w.rlike(UPPER_FIRST), F.lit("U"))
+                .otherwise(F.lit("o")))
+    return F.transform(tokens, code)
+
+
+# gap codes: 0 no gap, 1 blanks on the same line, 2 the gap holds a line break, 3 first token
+def gap_codes(text: Column, tokens: Column) -> Column:
+    def code(t, i):
+        prev_end = F.when(i == 0, F.lit(0)).otherwise(at(tokens, i - 1).end)
+        gap = F.substring(text, prev_end + 1, t.start - prev_end)
+        return (F.when(gap.contains("\n"), F.lit(2)).when(i == 0, F.lit(3))
+                .when(t.start == prev_end, F.lit(0)).otherwise(F.lit(1)))
+    return F.transform(tokens, code)
 
 
 def _t(c: Column) -> Column:
@@ -80,7 +109,7 @@ def _person_len(x: _Ctx, i) -> Column:
     cue = (_t((x.tok(i - 1) == ":") & F.lower(x.tok(i - 2)).isin(*NAME_CUES))
            | _t((x.tok(i - 1) == ".") & x.tok(i - 2).isin(*HONORIFICS))
            | _t(x.tok(i - 1).isin(*HONORIFICS)))
-    cap = lambda j: _t(x.tok(j).rlike(CAP_WORD))
+    cap = lambda j: _t(x.cls(j).isin("C", "M"))
     length = F.lit(0)
     for k in range(MAX_NAME_TOKENS - 1, 0, -1):  # nested: 1 + (next continues ? 1 + ... : 0)
         length = F.when(cap(i + k) & x.spaced(i + k), F.lit(1) + length).otherwise(F.lit(0))
@@ -89,10 +118,10 @@ def _person_len(x: _Ctx, i) -> Column:
 
 def _date_len(x: _Ctx, i) -> Column:
     t = x.tok
-    d12 = lambda j: _t(t(j).rlike(r"^\d{1,2}$"))
-    d4 = lambda j: _t(t(j).rlike(r"^\d{4}$"))
-    yy = lambda j: _t(t(j).rlike(r"^(\d{2}|\d{4})$"))
-    month = lambda j: _t(t(j).isin(*MONTHS))
+    d12 = lambda j: _t(x.cls(j).isin("1", "2"))
+    d4 = lambda j: _t(x.cls(j) == "4")
+    yy = lambda j: _t(x.cls(j).isin("2", "4"))
+    month = lambda j: _t(x.cls(j) == "M")
     slash = d12(i) & _t(t(i + 1) == "/") & d12(i + 2) & _t(t(i + 3) == "/") & yy(i + 4) & _all_tight(x, i, 1, 4)
     iso = d4(i) & _t(t(i + 1) == "-") & d12(i + 2) & _t(t(i + 3) == "-") & d12(i + 4) & _all_tight(x, i, 1, 4)
     mdy_comma = month(i) & d12(i + 1) & _t(t(i + 2) == ",") & d4(i + 3) & x.spaced(i + 1) & x.tight(i + 2) \
@@ -124,7 +153,10 @@ def rule_labels(text: Column, tokens: Column, gazetteer_entries: list[str] | Non
                 gazetteer_max_tokens: int = 1) -> Column:
     """ARRAY<STRING> of BIO labels aligned with ``tokens``."""
     def body(tok):
-        x = _Ctx(text, tok)
+        return let(shape_codes(tok), lambda cls: let(gap_codes(text, tok), lambda gap: labels_for(tok, cls, gap)))
+
+    def labels_for(tok, cls, gap):
+        x = _Ctx(text, tok, cls, gap)
         person = let(F.transform(tok, lambda _, i: _person_len(x, i)), lambda v: _bio(v, MAX_NAME_TOKENS, "PERSON"))
         date = let(F.transform(tok, lambda _, i: _date_len(x, i)), lambda v: _bio(v, MAX_DATE_TOKENS, "DATE"))
         merged = F.zip_with(person, date, lambda p, d: F.when(p != "O", p).otherwise(d))
@@ -147,7 +179,7 @@ def _with_locations(x: _Ctx, tok: Column, labels: Column, entries: list[str], ma
         free = lambda j: _t(at(labels, j) == "O")
         out = F.lit(0)
         for k in range(1, max_tokens + 1):   # longest wins: later (longer) k overrides
-            ok = _t(x.tok(i).rlike(UPPER_FIRST))
+            ok = _t(x.cls(i).isin("C", "M", "U"))
             for j in range(k):
                 ok = ok & free(i + j)
             ok = ok & _t(F.lower(_surface(x, i, k)).isin(*entries))
