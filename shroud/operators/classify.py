@@ -113,7 +113,8 @@ def _person_len(x: _Ctx, i) -> Column:
     length = F.lit(0)
     for k in range(MAX_NAME_TOKENS - 1, 0, -1):  # nested: 1 + (next continues ? 1 + ... : 0)
         length = F.when(cap(i + k) & x.spaced(i + k), F.lit(1) + length).otherwise(F.lit(0))
-    return F.when(cue & cap(i) & x.same_line(i), F.lit(1) + length).otherwise(F.lit(0))
+    # the token's own shape first: most tokens are not capitalised words and stop here
+    return F.when(cap(i), F.when(cue & x.same_line(i), F.lit(1) + length).otherwise(F.lit(0))).otherwise(F.lit(0))
 
 
 def _date_len(x: _Ctx, i) -> Column:
@@ -128,8 +129,10 @@ def _date_len(x: _Ctx, i) -> Column:
         & x.spaced(i + 3)
     mdy = month(i) & d12(i + 1) & d4(i + 2) & x.spaced(i + 1) & x.spaced(i + 2)
     dmy = d12(i) & month(i + 1) & d4(i + 2) & x.spaced(i + 1) & x.spaced(i + 2)
-    return (F.when(slash | iso, F.lit(5)).when(mdy_comma, F.lit(4)).when(mdy | dmy, F.lit(3))
+    full = (F.when(slash | iso, F.lit(5)).when(mdy_comma, F.lit(4)).when(mdy | dmy, F.lit(3))
             .otherwise(F.lit(0)))
+    # every date starts with a number or a month name: other tokens stop here
+    return F.when(_t(x.cls(i).isin("1", "2", "4", "M")), full).otherwise(F.lit(0))
 
 
 def _all_tight(x: _Ctx, i, a: int, b: int) -> Column:
