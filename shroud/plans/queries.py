@@ -76,6 +76,7 @@ from ..functions.arrays import add_special, strip_edges, windows  # noqa: E402
 from ..operators.tokens import (build_vocabulary, prepare_samples, to_windows, token_rows,  # noqa: E402
                                 with_tokens)
 from ..operators.spans import merge_windows  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
 
 WINDOW_CONFIGS = ((510, 0, 512), (100, 20, 64))  # (window size, overlap, padded length)
@@ -133,6 +134,7 @@ def q_pad_truncate_mask(spark, sf_dir):
 
 def _vocabulary(spark, sf_dir):
     vocab = build_vocabulary(token_rows(documents(spark, sf_dir)), min_count=2)
+    ensure_checkpoint_dir(spark)  # the session's shared folder; set only where unset (tests)
     return vocab.checkpoint()  # reusable artefact: cut lineage before counting and joining it
 
 
