@@ -56,11 +56,12 @@ def prepare_samples(df: DataFrame, max_len: int = MAX_LEN, tokens: str = "tokens
     words = F.transform(F.col(tokens), lambda t: t.token) if _is_struct_tokens(df, tokens) else F.col(tokens)
     out = df.select(*key_cols, truncate_or_pad(words, max_len, PAD).alias("padded"),
                     *([truncate_or_pad(F.col(tags), max_len, "O").alias("padded_tags")] if tags else []))
+    if vocab is not None:
+        out = encode_tokens(out, vocab, "padded", key_cols, "ids", vocab_broadcast_rows,
+                            carry=("padded_tags",) if tags else ())
     out = out.withColumn("mask", attention_mask(F.col("padded"), PAD))
     if tags:
         out = out.withColumn("targets", encode_labels(F.col("padded_tags")))
-    if vocab is not None:
-        out = encode_tokens(out, vocab, "padded", key_cols, "ids", vocab_broadcast_rows)
     return out
 
 
@@ -100,30 +101,47 @@ def build_vocabulary(tokens_long: DataFrame, token: str = "token", min_count: in
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, tokens: str, key_cols: tuple, out: str = "ids",
-                  broadcast_rows: int = 2_000_000) -> DataFrame:
+                  broadcast_rows: int = 2_000_000, carry: tuple = ()) -> DataFrame:
     """Token strings -> vocabulary ids, unknown -> UNK_ID, PAD -> PAD_ID (PREP4).
 
-    Rows are exploded, joined to the vocabulary (broadcast when its checked size allows,
-    shuffle join with AQE skew splitting otherwise) and regrouped per sample. Samples are
-    bounded (``max_len`` tokens), so every regrouped row is bounded too.
+    Samples are hash-partitioned by key once; their tokens (and the aligned ``carry`` arrays)
+    are exploded, joined to the vocabulary (broadcast when its checked size allows, shuffle
+    join with AQE skew splitting otherwise) and regrouped per sample in the same partitioning,
+    rebuilding ``tokens``, ``out`` and every carried array. Nothing is joined back, so the
+    samples are computed once. Samples are bounded (``max_len`` tokens, never empty after
+    padding), so every regrouped row is bounded too.
     """
-    df = df.repartition(*key_cols)  # explode, lookup, regroup and join back all reuse this
-    exploded = df.select(*key_cols, F.posexplode(tokens).alias("_pos", "_tok"))
+    df = df.repartition(*key_cols)
+    zipped = F.arrays_zip(F.col(tokens).alias("_tok"), *[F.col(c).alias(c) for c in carry])
+    exploded = df.select(*key_cols, F.posexplode(zipped).alias("_pos", "_z")) \
+        .select(*key_cols, "_pos", F.col("_z._tok").alias("_tok"), *[F.col(f"_z.{c}").alias(c) for c in carry])
     v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
     joined = join_small(exploded, v, "_tok", "left", max_rows=broadcast_rows)
-    ids = joined.select(*key_cols, "_pos", F.when(F.col("_tok") == PAD, F.lit(PAD_ID))
-                        .otherwise(F.coalesce(F.col("_id"), F.lit(UNK_ID))).alias("_id"))
-    grouped = ids.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_p"))
-    return df.join(grouped.select(*key_cols, F.transform("_p", lambda p: p["_id"]).alias(out)),
-                   list(key_cols), "left")
+    ids = joined.withColumn("_id", F.when(F.col("_tok") == PAD, F.lit(PAD_ID))
+                            .otherwise(F.coalesce(F.col("_id"), F.lit(UNK_ID))))
+    grouped = ids.groupBy(*key_cols).agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "_id", "_tok", *carry))).alias("_p"))
+    return grouped.select(*key_cols, F.transform("_p", lambda p: p["_tok"]).alias(tokens),
+                          F.transform("_p", lambda p: p["_id"]).alias(out),
+                          *[F.transform("_p", _field(c)).alias(c) for c in carry])
+
+
+def _field(c):
+    return lambda p: p[c]
 
 
 def assign_batches(df: DataFrame, key_cols: tuple = ("doc_id", "window_no"), batch_size: int = DEFAULT_BATCH_SIZE,
-                   shards: int = 1024) -> DataFrame:
-    """Fixed-size batches (PREP7) without a global row number: samples are spread over
-    ``shards`` by a hash of their key, then numbered in key order inside each shard."""
+                   shards: int | None = None, rows_per_shard: int = 1_000_000) -> DataFrame:
+    """Fixed-size batches (PREP7) without a global row number: samples are spread over ``shards``
+    by a hash of their key, then numbered in key order inside each shard.
+
+    Each shard is sorted by one task, so by default the shard count follows the data (about
+    ``rows_per_shard`` samples per shard). Hashing the full key keeps shards even when one
+    document holds a large share of all windows.
+    """
+    if shards is None:
+        shards = max(1, -(-df.count() // rows_per_shard))
     shard = F.pmod(hash32(hash_key(*[F.col(c) for c in key_cols])), F.lit(shards)).cast("int")
     w = Window.partitionBy("shard").orderBy(*key_cols)
     return (df.withColumn("shard", shard)
             .withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / F.lit(batch_size)).cast("int")))
-

@@ -289,7 +289,7 @@ def q_training_samples(spark, sf_dir):
     w = to_windows(d.withColumn("tags", F.col("labels")), 510, 0, keep=("labels",))
     w = w.withColumn("tags", F.slice("labels", F.col("first_pos") + 1, 510)).drop("labels")
     s = prepare_samples(w, max_len=512, tags="tags")
-    s = assign_batches(s)
+    s = assign_batches(s, shards=1024)
     return s.select("doc_id", "window_no", "shard", "batch_no",
                     F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
                     F.array_join(F.transform(F.filter("targets", lambda x: x != 0), lambda x: x.cast("string")), " ")
