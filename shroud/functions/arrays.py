@@ -49,10 +49,10 @@ def at(values: Column, i) -> Column:
     return F.when((i >= 0) & (i < F.size(values)), values[i])
 
 
-def prefix_sum(values: Column) -> Column:
-    """Inclusive running sum of an ARRAY<INT> in O(n log n), one row at a time.
+def _scan(values: Column, combine) -> Column:
+    """Inclusive scan of an array with an associative ``combine`` in O(n log n), one row at a time.
 
-    Hillis-Steele scan: in round k every element adds the element 2^k places before it;
+    Hillis-Steele: in round k every element combines with the element 2^k places before it;
     ceil(log2 n) rounds. Each round reads the previous round's array by index (O(1)).
     """
     def scan(v):
@@ -61,13 +61,43 @@ def prefix_sum(values: Column) -> Column:
 
         def one_round(acc, k):
             d = F.pow(F.lit(2), k).cast("int")
-            return F.transform(acc, lambda x, i: x + F.when(i >= d, acc[i - d]).otherwise(F.lit(0)))
+            return F.transform(acc, lambda x, i: F.when(i >= d, combine(x, acc[i - d])).otherwise(x))
 
         return F.when(rounds == 0, v).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), v, one_round))
 
     return let(values, scan)
 
 
+def prefix_sum(values: Column) -> Column:
+    """Inclusive running sum of an ARRAY<INT> in O(n log n)."""
+    return _scan(values, lambda a, b: a + b)
+
+
+def prefix_max(values: Column) -> Column:
+    """Inclusive running maximum of an ARRAY<INT> in O(n log n)."""
+    return _scan(values, lambda a, b: F.greatest(a, b))
+
+
+def starts_inside(starts: Column, spans: Column) -> Column:
+    """ARRAY<BOOLEAN>, one per element of ``starts`` (ascending): does some span
+    ``(start, end)`` (end exclusive) hold it?
+
+    A position p is inside a span iff the largest end among spans starting at or before p
+    exceeds p, for any set of spans, sorted or not, overlapping or not. Sorting the span starts
+    and the positions together and taking a running maximum of ends answers every position in
+    O((n + m) log(n + m)), instead of testing each position against each span.
+    """
+    events = F.concat(
+        F.transform(spans, lambda s: F.struct(s.start.alias("key"), F.lit(0).alias("kind"), s.end.alias("end"))),
+        F.transform(starts, lambda p: F.struct(p.alias("key"), F.lit(1).alias("kind"), F.lit(-1).alias("end"))))
+
+    def answer(ev):
+        reach = prefix_max(F.transform(ev, lambda e: e.end))
+        marked = F.zip_with(ev, reach, lambda e, r: F.struct(e.kind.alias("kind"), (r > e.key).alias("inside")))
+        return F.transform(F.filter(marked, lambda x: x.kind == 1), lambda x: x.inside)
+    return let(F.array_sort(events), answer)
+
+
 def tokenize(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
     """ARRAY<STRUCT<token,start,end>>: every token of ``text`` with its character span."""
     def build(toks):

@@ -199,8 +199,7 @@ def token_queries() -> dict[str, Query]:
 from ..config import RedactionConfig  # noqa: E402
 from ..functions.rewrite import replace_guarded, replace_sequential  # noqa: E402
 from ..operators.classify import RuleTagger  # noqa: E402
-from ..operators.mapping import entity_spans  # noqa: E402
-from ..operators.redact import build_maps, detect, redact, rewrite  # noqa: E402
+from ..operators.redact import build_maps, detect, redact  # noqa: E402
 from ..operators.mapping import date_entries, location_entries, name_entries  # noqa: E402
 from ..operators.spans import bio_mentions, entity_lists, mention_rows  # noqa: E402
 

@@ -27,6 +27,12 @@ def redact_stream(stream: DataFrame, detector=None, text: str = "text", key: str
         raise ValueError("expected a streaming DataFrame (spark.readStream...)")
     if detector is None:
         return redact_contact_chain(stream, text=text, key=key, seed=cfg.seed, order=cfg.order)
+    load = getattr(detector, "_load", None)
+    if load is not None:
+        load()
+        if getattr(detector, "gazetteer", None) is not None and not detector._inline:
+            raise ValueError("streaming needs a gazetteer small enough to inline (the join path regroups "
+                             "per document, which would need state); raise inline_limit or run in batch")
     return redact(stream, detector, text=text, key=key, cfg=cfg)
 
 

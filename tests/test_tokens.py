@@ -62,3 +62,23 @@ def test_pad_truncate_mask(spark):
     r = df.select(truncate_or_pad(F.col("t"), 4, "[PAD]").alias("p")).select("p", attention_mask(F.col("p")).alias("m")).collect()
     assert r[0].p == ["a", "b", "[PAD]", "[PAD]"] and r[0].m == [1, 1, 0, 0]
     assert r[1].p == ["a", "b", "c", "d"] and r[1].m == [1, 1, 1, 1]
+
+
+def test_starts_inside_matches_brute_force(spark):
+    import random as _r
+    from shroud.functions.arrays import prefix_max, starts_inside
+    rnd = _r.Random(13)
+    rows = []
+    for _ in range(200):
+        spans = []
+        for _ in range(rnd.randint(0, 6)):
+            a = rnd.randint(0, 40)
+            spans.append({"start": a, "end": a + rnd.randint(0, 8)})
+        starts = sorted(rnd.sample(range(0, 50), rnd.randint(0, 10)))
+        rows.append((starts, spans))
+    df = spark.createDataFrame(rows, "p array<int>, s array<struct<start:int,end:int>>")
+    got = [list(r.f) for r in df.select(starts_inside(F.col("p"), F.col("s")).alias("f")).collect()]
+    for (starts, spans), g in zip(rows, got):
+        assert g == [any(s["start"] <= p < s["end"] for s in spans) for p in starts]
+    m = spark.createDataFrame([([3, 1, 4, 1, 5, 9, 2, 6],)], "a array<int>").select(prefix_max(F.col("a")).alias("m")).first().m
+    assert m == [3, 3, 4, 4, 5, 9, 9, 9]
