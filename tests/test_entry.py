@@ -31,3 +31,10 @@ def test_oracle_agrees_small(spark, key):
     names = [d[0] for d in rel.description]
     d = sorted(tuple(row[names.index(c)] for c in cols) for row in rel.fetchall())
     assert s == d
+
+
+def test_flagship_scans_only_needed_columns(spark):
+    plan = E.queries()["redact_contacts"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan or "struct<doc_id:bigint,text:string>" in plan
+    assert "struct<page_id:bigint,url:string>" in plan
+    assert "html" not in plan and "n_chars" not in plan
