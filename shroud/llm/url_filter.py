@@ -2,10 +2,9 @@
 
 ``judge`` splits each URL into host and path with column expressions and applies the rules; URLs
 that no rule decides are scored by a model whose features are the character n-grams (3 to 5
-bytes) of ``^host$`` and of the path, hashed into ``2**bits`` weights. The model is
-fitted by ``train`` on a bounded sample of a labelled URL table (``max_train`` distinct URLs, those
-with the smallest hashes): in ``op10`` the table is the pages' own URLs that a rule decides, with
-the rule's verdict as label.
+bytes) of ``^host$`` and of the path, hashed into ``2**bits`` weights. ``train`` fits the model on a
+small labelled URL table (url, verdict), by default ``LABELLED``; of a larger one it takes a bounded sample
+(``max_train`` distinct rows, those with the smallest hashes).
 
 Edge cases: a null URL or one without ``://`` has an empty host and path (the model's bias decides);
 repeated URLs get equal verdicts and count once in training; with no labelled URL, or labels of one
@@ -25,9 +24,34 @@ from pyspark.sql import functions as F
 #: (verdict, rule); a rule is a host, which also stands for its subdomains, and a path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/"))
+#: The labelled URL table: words of unwanted hosts and paths, and of ordinary ones, in invented URLs.
+UNWANTED = ("casino", "poker", "slots", "bets", "wager", "jackpot", "lottery", "adult", "porn", "xxx", "sex", "hookup",
+            "pills", "pharma", "viagra", "loans", "payday", "crypto-win", "free-win", "prize", "ads", "ad-server", "track",
+            "tracker", "cheap", "popup", "banner", "affiliate", "torrent", "warez", "crack", "keygen", "spam", "phish")
+ORDINARY = ("news", "journal", "library", "museum", "school", "university", "science", "research", "weather", "travel",
+            "recipes", "garden", "music", "books", "history", "health", "sports", "local", "city", "forum", "wiki",
+            "docs", "help", "support", "shop", "mail", "photos", "maps", "people", "culture", "nature", "theatre", "trains", "house")
+#: Frames that both kinds share, so that only the words tell them apart.
+FRAMES = (("", "com", "en"), ("www.", "net", "de"), ("m.", "org", "fr"), ("blog.", "com", "es"), ("", "org", "en"), ("www.", "org", "es"))
+
+
+def _labelled():
+    for i, (bad, good) in enumerate(zip(UNWANTED, ORDINARY)):
+        for j, (front, top, lang) in enumerate(FRAMES):
+            far, near = UNWANTED[(i + j + 1) % len(UNWANTED)], ORDINARY[(i + 5 * j + 1) % len(ORDINARY)]
+            place = f"/{lang}/{37 * i + 101 * j}"
+            yield f"http://{front}{bad}-{far}.example.{top}{place}", "block"
+            yield f"http://{front}{good}-{near}.example.{top}{place}", "allow"
+            yield f"http://{front}{good[:4]}{near[-4:]}.example.{top}{place}", "allow"
+        yield f"https://{ORDINARY[i - 3]}.example.com/{bad}/{i}", "block"
+        yield f"https://{ORDINARY[i - 3]}.example.com/{good}/{i}", "allow"
+
+
+LABELLED = tuple(_labelled())
 MAX_TRAIN = 20_000
 BITS = 14
 GRAMS = (3, 4, 5)
+MIN_ODDS = -1.0  # a URL is blocked where its log odds of allow are lower
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -105,25 +129,25 @@ def fit(hosts, paths, allowed, bits: int = BITS, rounds: int = 150, rate: float
     return UrlModel(w, float(bias), bits)
 
 
-def train(labelled: DataFrame, max_train: int = MAX_TRAIN, bits: int = BITS) -> UrlModel:
-    """Fit on a table (host, path, verdict): at most ``max_train`` distinct rows, those of the smallest hashes."""
-    rows = labelled.distinct().orderBy(F.xxhash64("host", "path", "verdict"), "host", "path", "verdict").limit(max_train).collect()
+def train(labelled: DataFrame, url: str = "url", verdict: str = "verdict", max_train: int = MAX_TRAIN, bits: int = BITS) -> UrlModel:
+    """Fit on a table (url, verdict): at most ``max_train`` distinct rows, those of the smallest hashes."""
+    own = F.col(f"`{url}`")
+    rows = labelled.select(host_of(own).alias("host"), path_of(own).alias("path"), F.col(f"`{verdict}`").alias("verdict")).distinct()
+    rows = rows.orderBy(F.xxhash64("host", "path", "verdict"), "host", "path", "verdict").limit(max_train).collect()
     return fit([r.host for r in rows], [r.path for r in rows], [r.verdict == "allow" for r in rows], bits)
 
 
-def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES, model: UrlModel | None = None,
-          max_train: int = MAX_TRAIN) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES, model: UrlModel | None = None) -> DataFrame:
     """key, host, path, rule, verdict, log_odds (null where a rule decides) of every row.
 
-    Without a ``model``, one is trained on the rows that a rule decides.
+    Without a ``model``, one is trained on ``LABELLED``.
     """
     own = F.col(f"`{url}`")
     parts = pages.select(F.col(f"`{key}`").alias(key), host_of(own).alias("host"), path_of(own).alias("path"))
     rule, verdict = decide(F.col("host"), F.col("path"), rules)
     ruled = parts.withColumns({"rule": rule, "ruled": verdict})
     if model is None:
-        model = train(ruled.where(F.col("ruled").isNotNull()).select("host", "path", F.col("ruled").alias("verdict")),
-                      max_train)
+        model = train(pages.sparkSession.createDataFrame(LABELLED, "url string, verdict string"))
 
     @F.pandas_udf("double")
     def log_odds(host: pd.Series, path: pd.Series) -> pd.Series:
@@ -131,5 +155,5 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES,
 
     scored = ruled.withColumn("odds", log_odds("host", "path"))
     return scored.select(key, "host", "path", "rule",
-                         F.coalesce("ruled", F.when(F.col("odds") >= 0, "allow").otherwise("block")).alias("verdict"),
+                         F.coalesce("ruled", F.when(F.col("odds") >= MIN_ODDS, "allow").otherwise("block")).alias("verdict"),
                          F.when(F.col("ruled").isNull(), F.col("odds")).alias("log_odds"))
