@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, mix, url_filter
+from . import bpe_tree, mix, near_dup, pii, quality, secrets, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_trigram_secrets(spark, sf_dir):
+    """Secrets in every document."""
+    return secrets.report(read(spark, sf_dir, "documents"))
+
+
+def op2_weak_pii(spark, sf_dir):
+    """Personal data in every document."""
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op3_bpe_tree(spark, sf_dir):
     """Byte-level BPE round trip of every document."""
     return bpe_tree.digests(read(spark, sf_dir, "documents"))
 
 
+def op4_mcd_quality(spark, sf_dir):
+    """Statistics and verdict of every document."""
+    return quality.verdicts(read(spark, sf_dir, "documents"))
+
+
 def op6_pareto_mix(spark, sf_dir):
     """Words that the mix takes from every document."""
     rows = mix.plan(read(spark, sf_dir, "documents"))
@@ -25,14 +40,20 @@ def op6_pareto_mix(spark, sf_dir):
                        (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_dart_minhash(spark, sf_dir):
+    """Class of near duplicates of every document."""
+    return near_dup.classes(read(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     """Rule and verdict of every page's URL."""
     return url_filter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_bpe_tree, op6_pareto_mix, op10_url_filter)}
+    return {f.__name__: f for f in (
+        op1_trigram_secrets, op2_weak_pii, op3_bpe_tree, op4_mcd_quality, op6_pareto_mix, op7_dart_minhash, op10_url_filter)}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op1_trigram_secrets": secrets.report_sql()}
