@@ -134,18 +134,21 @@ def _vocabulary(queries: dict) -> list[str]:
 
 
 # --- index ------------------------------------------------------------------------------
-def _held(text: Column, vocabulary: list[str]) -> Column:
-    """ARRAY of the numbers of those trigrams that a text holds in either case."""
-    low = F.lower(text)
+def _held(low: Column, vocabulary: list[str]) -> Column:
+    """ARRAY of the numbers of those trigrams that a lower-cased text holds.
+
+    ``low`` should be a column of its own: an expression would be evaluated for each trigram.
+    """
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary)]).cast("array<int>"))
 
 
 def build_index(docs: DataFrame, vocabulary: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """block, trigram (its number), offsets (sorted): the posting lists of all rows with an id."""
     k = F.col(f"`{key}`").cast("long")
-    posts = docs.where(k.isNotNull()).select(
+    low = docs.where(k.isNotNull()).select(
         F.shiftright(k, BLOCK_BITS).alias("block"), k.bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("offset"),
-        F.explode(_held(whole(F.col(f"`{text}`")), vocabulary)).alias("trigram"))
+        F.lower(whole(F.col(f"`{text}`"))).alias("low"))
+    posts = low.select("block", "offset", F.explode(_held(F.col("low"), vocabulary)).alias("trigram"))
     return posts.groupBy("block", "trigram").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
 
 
@@ -197,10 +200,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict =
     queries = {kind: trigram_query(pattern) for kind, (pattern, _, _) in rules.items()}
     queries = {kind: q for kind, q in queries.items() if q != ALL}
     vocabulary = _vocabulary(queries)
-    t, k = whole(F.col(f"`{text}`")), F.col(f"`{key}`")
-    everywhere = F.concat(F.array().cast(_NONE), *[_spans(kind, t, rules) for kind in rules if kind not in queries])
-    rows = docs.select(k.alias(key), everywhere.alias("scanned"), *([
-        F.when(F.size(_held(t, vocabulary)) > 0, t).alias("text")] if queries else []))
+    t = whole(F.col(f"`{text}`"))
+    rows = docs.select(F.col(f"`{key}`").alias(key), t.alias("text"), F.lower(t).alias("low"))
+    everywhere = F.concat(F.array().cast(_NONE), *[_spans(kind, F.col("text"), rules) for kind in rules if kind not in queries])
+    rows = rows.select(key, everywhere.alias("scanned"), *([
+        F.when(F.size(_held(F.col("low"), vocabulary)) > 0, F.col("text")).alias("text")] if queries else []))
     if not queries:
         return rows.select(key, F.array_sort("scanned").alias("spans"))
     hits = candidates(stored(build_index(docs, vocabulary, key, text), "trigram-index"), queries, vocabulary)
