@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, mix, near_dup, pii, quality, secrets, url_filter
+from . import bpe_tree, fingerprint, licences, mix, near_dup, pii, quality, secrets, token_store, url_filter
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op4_mcd_quality(spark, sf_dir):
     return quality.verdicts(read(spark, sf_dir, "documents"))
 
 
+def op5_token_store(spark, sf_dir):
+    """Place and checksum of every document's ids, read back from the files."""
+    return token_store.stored_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_pareto_mix(spark, sf_dir):
     """Words that the mix takes from every document."""
     rows = mix.plan(read(spark, sf_dir, "documents"))
@@ -45,6 +50,16 @@ def op7_dart_minhash(spark, sf_dir):
     return near_dup.classes(read(spark, sf_dir, "documents"))
 
 
+def op8_content_chunks(spark, sf_dir):
+    """Fingerprint of every document, held against an edited text's and the next document's."""
+    return fingerprint.compare(read(spark, sf_dir, "documents"))
+
+
+def op9_licence_digests(spark, sf_dir):
+    """Licence and notices of every document."""
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     """Rule and verdict of every page's URL."""
     return url_filter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -52,8 +67,9 @@ def op10_url_filter(spark, sf_dir):
 
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_trigram_secrets, op2_weak_pii, op3_bpe_tree, op4_mcd_quality, op6_pareto_mix, op7_dart_minhash, op10_url_filter)}
+        op1_trigram_secrets, op2_weak_pii, op3_bpe_tree, op4_mcd_quality, op5_token_store, op6_pareto_mix, op7_dart_minhash,
+        op8_content_chunks, op9_licence_digests, op10_url_filter)}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_trigram_secrets": secrets.report_sql()}
+    return {"op1_trigram_secrets": secrets.report_sql(), "op9_licence_digests": licences.scan_sql()}
