@@ -280,11 +280,19 @@ _BUILT: dict = {}  # built tagger expressions, reused across DataFrames
 
 # ----------------------------------------------------------------------- scores and scorers
 
-def argmax_labels(scores: Column) -> Column:
-    """ARRAY<ARRAY<FLOAT>> (one score vector per token) -> label strings; ties go to the lowest id
-    (CLS2)."""
+def argmax_ids(scores: Column, mask: Column | None = None) -> Column:
+    """ARRAY<ARRAY<FLOAT>> (one score vector per token) -> label ids; ties go to the lowest id, and
+    slots whose ``mask`` is not 1 give NULL (CLS2)."""
+    best = lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int")
+    if mask is None:
+        return F.transform(scores, best)
+    return F.zip_with(scores, mask, lambda s, m: F.when(m == 1, best(s)))
+
+
+def argmax_labels(scores: Column, mask: Column | None = None) -> Column:
+    """``argmax_ids`` as label strings."""
     names = labels_by_id()
-    return F.transform(scores, lambda s: F.element_at(names, F.array_position(s, F.array_max(s)).cast("int")))
+    return F.transform(argmax_ids(scores, mask), lambda i: F.when(i.isNotNull(), F.element_at(names, i + 1)))
 
 
 def attach_predictions(windows_df: DataFrame, predictions: DataFrame, keys=("doc_id", "window_no")) -> DataFrame:

@@ -18,6 +18,7 @@ from .broadcast import join_small
 PAD, UNK = "[PAD]", "[UNK]"
 PAD_ID, UNK_ID = 0, 1
 SPECIAL_TOKENS = (PAD, UNK)
+PREFIX = 6  # characters of a token that its rank is split by
 
 
 def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -83,20 +84,23 @@ def encode_labels(tags, strict: bool = True):
 def build_vocabulary(tokens_long: DataFrame, token: str = "token", min_count: int = 1) -> DataFrame:
     """``(token, id, count)``: ids by descending count then token, after the reserved ids.
 
-    Counting is a map-side-combined aggregation (hot tokens are pre-summed per task). Dense
-    ids come from a distributed sort: per-partition counts of the sorted table (one small row
-    per partition) give each partition its starting id, so no task sees the whole vocabulary.
+    Counting is a map-side-combined aggregation (hot tokens are pre-summed per task). An id is the
+    number of tokens with a larger count, plus those of the same count with a smaller prefix, plus the rank among
+    those of the same count and prefix. The first two are running sums over small tables (one
+    row per distinct count, one per count and prefix), and a rank is taken within one prefix, so no task sees
+    the whole vocabulary, and ids depend on the data alone, not on how Spark partitions it.
     """
-    counts = (tokens_long.groupBy(token).agg(F.count(F.lit(1)).alias("count"))
-              .where(F.col("count") >= min_count))
-    ordered = counts.orderBy(F.col("count").desc(), F.col(token).asc()) \
-        .withColumn("_part", F.spark_partition_id())
-    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_offset", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
-    within = Window.partitionBy("_part").orderBy(F.col("count").desc(), F.col(token).asc())
-    return (join_small(ordered, offsets.select("_part", "_offset"), "_part", "inner", max_rows=1_000_000)
-            .withColumn("id", (F.col("_offset") + F.row_number().over(within) - 1 + len(SPECIAL_TOKENS))
-                        .cast("int"))
+    counts = (tokens_long.groupBy(token).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
+              .withColumn("_pre", F.substring(F.col(token), 1, PREFIX)))
+    sizes = counts.groupBy("count", "_pre").agg(F.count(F.lit(1)).alias("_n"))
+    above = sizes.groupBy("count").agg(F.sum("_n").alias("_all")) \
+        .withColumn("_above", F.sum("_all").over(Window.orderBy(F.col("count").desc())) - F.col("_all"))
+    before = F.sum("_n").over(Window.partitionBy("count").orderBy("_pre")) - F.col("_n")
+    offsets = sizes.withColumn("_before", before).join(above.select("count", "_above"), "count") \
+        .select("count", "_pre", (F.col("_above") + F.col("_before")).alias("_offset"))
+    within = Window.partitionBy("count", "_pre").orderBy(F.col(token).asc())
+    return (counts.join(offsets, ["count", "_pre"])
+            .withColumn("id", (F.col("_offset") + F.row_number().over(within) - 1 + len(SPECIAL_TOKENS)).cast("int"))
             .select(token, "id", "count"))
 
 

@@ -104,7 +104,7 @@ def padded_cte() -> str:
 
 
 def vocab_cte() -> str:
-    return ("vcount AS (SELECT token, count(*) AS cnt FROM tok GROUP BY token HAVING count(*) >= 2), "
+    return ("vcount AS (SELECT token, count(*) AS cnt FROM tok GROUP BY token), "
             "vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 1 AS INTEGER) AS id, "
             "cnt AS count FROM vcount)")
 
@@ -137,10 +137,12 @@ def token_sql() -> dict[str, str]:
             f"SELECT doc_id, window_no, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY i) AS ids_text "
             f"FROM pi GROUP BY doc_id, window_no"),
         "logit_argmax": (
-            "SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS label_id, "
+            "SELECT vec_id, CAST(slot - 1 AS INTEGER) AS slot, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS label_id, "
             "(['O','B-DATE','I-DATE','B-EMAIL','I-EMAIL','B-LOCATION','I-LOCATION','B-PERSON','I-PERSON',"
             "'B-PHONE_NUMBER','I-PHONE_NUMBER'])[list_position(l, list_max(l))] AS label "
-            "FROM (SELECT vec_id, embedding[1:11] AS l FROM embeddings) e"),
+            "FROM (SELECT vec_id, slot, embedding[(slot - 1) * 11 + 1:slot * 11] AS l FROM "
+            "(SELECT vec_id, embedding, unnest(range(1, CAST(ceil(len(embedding) / 11) AS BIGINT) + 1)) AS slot FROM embeddings) u) e "
+            "WHERE len(l) = 11"),
         "merge_windows": (
             f"WITH {tokens_cte()}, per AS (SELECT doc_id, count(*) AS n, arg_min(token, pos) AS first_token, "
             f"arg_max(token, pos) AS last_token FROM tok GROUP BY doc_id) "
@@ -253,7 +255,7 @@ def maps_cte() -> str:
         "nw AS (SELECT doc_id, key, arg_max(value, ord * 1000 + step) AS value, arg_max(role, ord * 1000 + step) AS role "
         "FROM na GROUP BY doc_id, key)")
     return (f"{mentions_cte()}, {name_parts}, "
-            f"name_map AS (SELECT doc_id, key AS real, {sql_fake_name_part('value', 'role', 'doc_id', SEED)} AS fake FROM nw), "
+            f"name_map AS (SELECT doc_id, key AS real, {sql_fake_name_part('value', 'role', 'doc_id', SEED, 'key')} AS fake FROM nw), "
             f"locs AS (SELECT doc_id, value, min(ord) AS first_ord FROM ments WHERE entity = 'LOCATION' GROUP BY doc_id, value), "
             f"location_map AS (SELECT doc_id, value AS real, {sql_fake_location('value', 'doc_id', SEED)} AS fake, first_ord "
             f"FROM locs), "

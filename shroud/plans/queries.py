@@ -71,12 +71,12 @@ def all_queries() -> dict[str, Query]:
 
 # ------------------------------------------------------------------ tokens, windows, samples
 
-from ..config import labels_by_id  # noqa: E402
+from ..config import LABEL2ID  # noqa: E402
 from ..functions.arrays import add_special, strip_edges, windows  # noqa: E402
 from ..operators.tokens import (build_vocabulary, prepare_samples, to_windows, token_rows,  # noqa: E402
                                 with_tokens)
+from ..operators.classify import argmax_ids, argmax_labels  # noqa: E402
 from ..operators.spans import merge_windows  # noqa: E402
-from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
 
 WINDOW_CONFIGS = ((510, 0, 512), (100, 20, 64))  # (window size, overlap, padded length)
@@ -133,9 +133,7 @@ def q_pad_truncate_mask(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    vocab = build_vocabulary(token_rows(documents(spark, sf_dir)), min_count=2)
-    ensure_checkpoint_dir(spark)  # the session's shared folder; set only where unset (tests)
-    return vocab.checkpoint()  # reusable artefact: cut lineage before counting and joining it
+    return build_vocabulary(token_rows(documents(spark, sf_dir)))
 
 
 def q_vocabulary(spark, sf_dir):
@@ -151,11 +149,15 @@ def q_vocab_encode(spark, sf_dir):
 
 
 def q_logit_argmax(spark, sf_dir):
+    """Each vector as score vectors of 11 values; the last one, if it is shorter, is masked."""
     e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    logits = F.slice("embedding", 1, 11)
-    label_id = (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
-    return e.select("vec_id", label_id.alias("label_id"),
-                    F.element_at(labels_by_id(), label_id + 1).alias("label"))
+    n = len(LABEL2ID)
+    slots = F.sequence(F.lit(0), F.ceil(F.size("embedding") / F.lit(n)).cast("int") - 1)
+    e = e.select("vec_id", F.transform(slots, lambda i: F.slice("embedding", i * n + 1, F.lit(n))).alias("scores"))
+    e = e.withColumn("mask", F.transform("scores", lambda s: (F.size(s) == n).cast("int")))
+    ids, names = argmax_ids(F.col("scores"), F.col("mask")), argmax_labels(F.col("scores"), F.col("mask"))
+    z = e.select("vec_id", F.posexplode(F.arrays_zip(ids.alias("id"), names.alias("label"), F.col("mask").alias("mask"))).alias("slot", "z"))
+    return z.where("z.mask = 1").select("vec_id", "slot", F.col("z.id").alias("label_id"), F.col("z.label").alias("label"))
 
 
 def q_merge_windows(spark, sf_dir):

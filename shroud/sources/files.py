@@ -35,26 +35,30 @@ def pages_to_documents(pages: DataFrame, key: str = "doc_id", page_no: str = "pa
     return g.select(key, F.array_join(F.transform("_p", lambda p: F.concat(p.t, F.lit("\n"))), "").alias("text"))
 
 
+def _names(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """The files of a folder (or the file itself) that match, by name; from the file listing, no data is read."""
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", False).load(path))
+    return sorted(found.inputFiles())
+
+
 def read_single_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC3: the one ``.csv`` file in a directory, header + inferred types; an error when the
     directory holds none or several."""
-    df = (spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", "*.csv")
-          .option("recursiveFileLookup", False).csv(path))
-    files = len(df.inputFiles())  # from the file listing; no data is read
-    if files == 0:
+    names = _names(spark, path, "*.csv")
+    if not names:
         raise ValueError(f"no CSV file found in {path}")
-    if files > 1:
+    if len(names) > 1:
         raise ValueError(f"several CSV files found in {path}")
-    return df
+    return spark.read.option("header", True).option("inferSchema", True).csv(names[0])
 
 
 def read_json_object(spark: SparkSession, path: str) -> DataFrame:
     """SRC4: one JSON object per file (multi-line). A directory gives the first ``.json`` by
     sorted name, so the choice is deterministic."""
-    df = (spark.read.option("multiLine", True).option("pathGlobFilter", "*.json")
-          .option("recursiveFileLookup", False).json(path).withColumn("_file", F.col("_metadata.file_name")))
-    first = df.agg(F.min("_file").alias("f"))
-    return df.join(first, df["_file"] == first["f"], "left_semi").drop("_file")
+    names = _names(spark, path, "*.json")
+    if not names:
+        raise ValueError(f"no JSON file found in {path}")
+    return spark.read.option("multiLine", True).json(names[0])
 
 
 def read_label_vocabulary(spark: SparkSession, path: str) -> DataFrame:

@@ -12,41 +12,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str | None = "doc_id") -> DataFrame:
-    """Give a narrow scan enough tasks for the cluster.
+SCAN_PARTITIONS = "shroud.scan.partitions"
 
-    A scan of few large row groups yields fewer tasks than cores, and per-document text work
-    is CPU-bound. Only then the rows are hash-partitioned by ``key`` (which later per-key
-    joins and aggregations reuse). A scan that already has enough partitions is returned
-    untouched: at scale no extra shuffle is added.
+
+def spread(raw: DataFrame, key: str) -> DataFrame:
+    """A raw scan dealt into as many partitions as the session's ``shroud.scan.partitions`` says.
+
+    Unset (the default, and the right choice for tables of many splits) the scan stays as it is. A
+    test or bench session over a file of one or two row groups sets it, because the work on each text is what costs.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * 2, key) if key else df.repartition(cores * 2)
+    n = raw.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return raw.repartition(int(n), key) if n else raw
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1: ``documents(doc_id, text)``."""
-    return spread(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return spread(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2: every page URL inside a sentence, keyed by page id."""
-    pages = read_table(spark, sf_dir, "pages", "page_id", "url")
-    return spread(pages.select(F.col("page_id").alias("doc_id"),
-                               F.concat(F.lit("see "), F.col("url"), F.lit(" for more")).alias("text")))
+    pages = spread(read_table(spark, sf_dir, "pages", "page_id", "url"), "page_id")
+    return pages.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("see "), F.col("url"), F.lit(" for more")).alias("text"))
 
 
 def contact_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 and T2 as one corpus with a ``source`` column (SRC5-style union, one pass)."""
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("source", F.lit("documents"))
-    pages = read_table(spark, sf_dir, "pages", "page_id", "url").select(
-        F.col("page_id").alias("doc_id"),
-        F.concat(F.lit("see "), F.col("url"), F.lit(" for more")).alias("text"),
-        F.lit("pages").alias("source"))
-    return spread(docs.unionByName(pages))
+    return documents(spark, sf_dir).withColumn("source", F.lit("documents")).unionByName(
+        page_texts(spark, sf_dir).withColumn("source", F.lit("pages")))
 
 
 DOCUMENTS_SQL = "SELECT doc_id, text FROM documents"
