@@ -5,15 +5,16 @@ scorer (CLS1).
 The rule tagger labels tokens with BIO tags for PERSON, DATE and LOCATION using only array
 expressions inside each document row:
 
-* PERSON: up to four capitalised words on one line after a cue (``Name:``, ``Dr.``, ``Mr.``,
-  ``Mrs.``, ``Ms.``, ``Prof.``; the dot may be left out).
+* PERSON: the whole run of capitalised words on one line after a cue (``Name:``, ``Dr.``, ``Mr.``,
+  ``Mrs.``, ``Ms.``, ``Prof.``; the dot may be left out). Words may have inner capitals, be joined
+  by a hyphen or an apostrophe (``Smith-Jones``, ``O'Neill``), or be initials (``J. Berg``).
 * DATE: ``d/d/yyyy`` (or ``yy``), ``yyyy-m-d``, ``Month d, yyyy``, ``Month d yyyy``,
   ``d Month yyyy``, written without inner spaces except around the month name.
 * LOCATION: longest run of up to ``max_tokens`` capitalised-first tokens whose lower-cased text
   is a gazetteer entry (the gazetteer is a table; see ``RuleTagger``).
 
-A token inside an earlier match is ``I-``, the first token of a match ``B-``; PERSON wins over
-DATE, DATE over LOCATION.
+Matches are taken from left to right, the longest first at each place (PERSON before DATE before
+LOCATION if they are equally long), and never overlap: the first token of a match is ``B-``, the rest ``I-``.
 """
 
 from __future__ import annotations
@@ -33,10 +34,9 @@ HONORIFICS = ("Dr", "Mr", "Mrs", "Ms", "Prof")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September",
           "October", "November", "December",
           "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec")
-CAP_WORD = r"^\p{Lu}\p{Ll}+$"
+CAP_WORD = r"^\p{Lu}(\p{L}*\p{Ll}\p{L}*)?$"
 UPPER_FIRST = r"^\p{Lu}"
-MAX_NAME_TOKENS = 4
-MAX_DATE_TOKENS = 5
+JOINERS = ("-", "'", "’")
 # --- end of fixed rule vocabulary -------------------------------------------------------
 
 
@@ -105,16 +105,30 @@ def _t(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def _person_len(x: _Ctx, i) -> Column:
+NEAR = 16  # tokens that are looked at before the rest of the text is
+
+
+def _continues(x: _Ctx, i) -> Column:
+    """Token i belongs to the same name as token i-1."""
+    cap = lambda j: _t(x.cls(j).isin("C", "M"))
+    joiner = lambda j: _t(x.tok(j).isin(*JOINERS))
+    word = cap(i) & (x.spaced(i) | (x.tight(i) & joiner(i - 1)))
+    return F.when(word, F.lit(True)).when(joiner(i), x.tight(i) & x.tight(i + 1) & cap(i + 1)).when(
+        _t(x.tok(i) == "."), x.tight(i) & _t(F.length(x.tok(i - 1)) == 1) & cap(i - 1) & cap(i + 1) & x.spaced(i + 1)).otherwise(F.lit(False))
+
+
+def _person_len(x: _Ctx, n: Column, i) -> Column:
+    """Tokens of the name that starts at i, 0 if none does: a capitalised word after a cue and all that continue it."""
     cue = (_t((x.tok(i - 1) == ":") & F.lower(x.tok(i - 2)).isin(*NAME_CUES))
            | _t((x.tok(i - 1) == ".") & x.tok(i - 2).isin(*HONORIFICS))
            | _t(x.tok(i - 1).isin(*HONORIFICS)))
-    cap = lambda j: _t(x.cls(j).isin("C", "M"))
-    length = F.lit(0)
-    for k in range(MAX_NAME_TOKENS - 1, 0, -1):  # nested: 1 + (next continues ? 1 + ... : 0)
-        length = F.when(cap(i + k) & x.spaced(i + k), F.lit(1) + length).otherwise(F.lit(0))
+
+    def end(last):  # number of the first token after i that does not continue the name, 0 if all up to ``last`` do
+        return F.array_position(F.transform(F.sequence(i + 1, last), lambda j: _continues(x, j)), F.lit(False)).cast("int")
+    run = F.when(i + 1 >= n, F.lit(1)).otherwise(let(end(F.least(i + NEAR, n - 1)), lambda e: F.when(e > 0, e).when(
+        i + NEAR >= n - 1, n - i).otherwise(let(end(n - 1), lambda f: F.when(f > 0, f).otherwise(n - i)))))
     # the token's own shape first: most tokens are not capitalised words and stop here
-    return F.when(cap(i), F.when(cue & x.same_line(i), F.lit(1) + length).otherwise(F.lit(0))).otherwise(F.lit(0))
+    return F.when(_t(x.cls(i).isin("C", "M")), F.when(cue & x.same_line(i), run).otherwise(F.lit(0))).otherwise(F.lit(0))
 
 
 def _date_len(x: _Ctx, i) -> Column:
@@ -142,31 +156,56 @@ def _all_tight(x: _Ctx, i, a: int, b: int) -> Column:
     return out
 
 
-def _bio(lengths: Column, max_len: int, entity: str) -> Column:
-    """Labels from match lengths: inside an earlier match -> I-, a match start -> B-."""
-    def label(n, i):
-        covered = F.lit(False)
-        for k in range(1, max_len):
-            covered = covered | _t(at(lengths, i - k) > k)
-        return F.when(covered, F.lit(f"I-{entity}")).when(n > 0, F.lit(f"B-{entity}")).otherwise(F.lit("O"))
-    return F.transform(lengths, label)
+_MATCHES = "array<struct<i:int,neg:int,rank:int>>"
+KINDS = ("PERSON", "DATE", "LOCATION")
+
+
+def _match(i, length: Column, kind: str) -> Column:
+    """A match of ``length`` tokens at token i; sorts by place, longest first, then kind. NULL if the length is 0."""
+    return let(length, lambda v: F.when(v > 0, F.struct(i.cast("int").alias("i"), (-v).cast("int").alias("neg"), F.lit(KINDS.index(kind)).alias("rank"))))
+
+
+def _labels(n: Column, matches: Column) -> Column:
+    """ARRAY<STRING> of ``n`` labels from matches, which may overlap: left to right, longest first."""
+    def take(acc, m):
+        return F.when(m.i >= acc.free, F.struct((m.i - m.neg).alias("free"), F.array_append(acc.taken, m).alias("taken"))).otherwise(acc)
+
+    def label(prefix, m):
+        return F.concat(F.lit(prefix), F.element_at(F.array(*[F.lit(k) for k in KINDS]), m.rank + 1))
+
+    def write(taken):
+        def piece(m, j):
+            free = F.when(j > 0, at(taken, j - 1).i - at(taken, j - 1).neg).otherwise(0)
+            return F.concat(F.array_repeat(F.lit("O"), m.i - free), F.array(label("B-", m)), F.array_repeat(label("I-", m), -m.neg - 1))
+        last = F.coalesce(F.try_element_at(taken, F.lit(-1)).i - F.try_element_at(taken, F.lit(-1)).neg, F.lit(0))
+        return F.concat(F.flatten(F.transform(taken, piece)), F.array_repeat(F.lit("O"), n - last))
+
+    start = F.struct(F.lit(0).alias("free"), F.array().cast(_MATCHES).alias("taken"))
+    return F.when(F.size(matches) == 0, F.array_repeat(F.lit("O"), n)).otherwise(
+        let(F.aggregate(F.array_sort(matches), start, take, lambda acc: acc.taken), write))
+
+
+def rule_matches(text: Column, tokens: Column, gazetteer_entries: list[str] | None = None, gazetteer_max_tokens: int = 1) -> Column:
+    """ARRAY of all matches of the rules, and of the gazetteer if it is given."""
+    def found(tok, cls, gap):
+        x = _Ctx(text, tok, cls, gap)
+        # every match starts with an upper-case letter or a number
+        starts = F.filter(F.transform(cls, lambda c, i: F.when(c != "o", i)), lambda i: i.isNotNull())
+
+        def at_place(i):
+            out = [_match(i, _person_len(x, F.size(tok), i), "PERSON"), _match(i, _date_len(x, i), "DATE")]
+            if gazetteer_entries:
+                out.append(_match(i, _location_len(x, i, gazetteer_entries, gazetteer_max_tokens), "LOCATION"))
+            return F.array(*out)
+        return F.filter(F.flatten(F.transform(starts, at_place)), lambda m: m.isNotNull()).cast(_MATCHES)
+
+    return let(tokens, lambda tok: let(shape_codes(tok), lambda cls: let(gap_codes(text, tok), lambda gap: found(tok, cls, gap))))
 
 
 def rule_labels(text: Column, tokens: Column, gazetteer_entries: list[str] | None = None,
                 gazetteer_max_tokens: int = 1) -> Column:
     """ARRAY<STRING> of BIO labels aligned with ``tokens``."""
-    def body(tok):
-        return let(shape_codes(tok), lambda cls: let(gap_codes(text, tok), lambda gap: labels_for(tok, cls, gap)))
-
-    def labels_for(tok, cls, gap):
-        x = _Ctx(text, tok, cls, gap)
-        person = let(F.transform(tok, lambda _, i: _person_len(x, i)), lambda v: _bio(v, MAX_NAME_TOKENS, "PERSON"))
-        date = let(F.transform(tok, lambda _, i: _date_len(x, i)), lambda v: _bio(v, MAX_DATE_TOKENS, "DATE"))
-        merged = F.zip_with(person, date, lambda p, d: F.when(p != "O", p).otherwise(d))
-        if not gazetteer_entries:
-            return merged
-        return let(merged, lambda m: _with_locations(x, tok, m, gazetteer_entries, gazetteer_max_tokens))
-    return let(tokens, body)
+    return let(tokens, lambda tok: _labels(F.size(tok), rule_matches(text, tok, gazetteer_entries, gazetteer_max_tokens)))
 
 
 def _surface(x: _Ctx, i, k: int) -> Column:
@@ -177,19 +216,11 @@ def _surface(x: _Ctx, i, k: int) -> Column:
     return F.concat(*parts)
 
 
-def _with_locations(x: _Ctx, tok: Column, labels: Column, entries: list[str], max_tokens: int) -> Column:
-    def loc_len(i):
-        free = lambda j: _t(at(labels, j) == "O")
-        out = F.lit(0)
-        for k in range(1, max_tokens + 1):   # longest wins: later (longer) k overrides
-            ok = _t(x.cls(i).isin("C", "M", "U"))
-            for j in range(k):
-                ok = ok & free(i + j)
-            ok = ok & _t(F.lower(_surface(x, i, k)).isin(*entries))
-            out = F.when(ok, F.lit(k)).otherwise(out)
-        return out
-    locs = let(F.transform(tok, lambda _, i: loc_len(i)), lambda v: _bio(v, max_tokens + 1, "LOCATION"))
-    return F.zip_with(labels, locs, lambda a, b: F.when(a != "O", a).otherwise(b))
+def _location_len(x: _Ctx, i, entries: list[str], max_tokens: int) -> Column:
+    out = F.lit(0)
+    for k in range(1, max_tokens + 1):   # longest wins: later (longer) k overrides
+        out = F.when(_t(F.lower(_surface(x, i, k)).isin(*entries)), F.lit(k)).otherwise(out)
+    return F.when(_t(x.cls(i).isin("C", "M", "U")), out).otherwise(F.lit(0))
 
 
 class RuleTagger:
@@ -199,16 +230,16 @@ class RuleTagger:
     when its checked size is at most ``inline_limit`` entries: then tagging is one row-local
     expression. A larger gazetteer is matched by a join instead: candidate token runs are
     exploded, joined to the gazetteer (broadcast only below ``broadcast_limit`` checked rows,
-    otherwise a shuffle join with AQE skew splitting), regrouped per document and merged back.
+    otherwise a shuffle join with AQE skew splitting), regrouped by text and joined back. The key is the
+    text's digest, so rows that share an id, or have none, are matched like any other, and both ways give the same labels.
     """
 
     def __init__(self, gazetteer: DataFrame | None = None, entry_col: str = "entry", inline_limit: int = 50_000,
-                 broadcast_limit: int = 2_000_000, key: str = "doc_id"):
+                 broadcast_limit: int = 2_000_000):
         self.gazetteer = gazetteer
         self.entry_col = entry_col
         self.inline_limit = inline_limit
         self.broadcast_limit = broadcast_limit
-        self.key = key
         self._entries: list[str] | None = None
         self._inline: bool | None = None
         self._max_tokens = 1
@@ -222,60 +253,48 @@ class RuleTagger:
             return
         g = self._entries_df()
         self._inline = fits(g, self.inline_limit)
+        from ..functions.arrays import TOKEN_PATTERN
         if self._inline:
             self._entries = sorted(r.entry for r in g.collect())
-            import re
-            self._max_tokens = max([len(re.findall(r"\w+|[^\w\s]", e)) for e in self._entries] or [1])
-        else:
-            from ..functions.arrays import TOKEN_PATTERN
-            n = g.select(F.max(F.size(F.regexp_extract_all("entry", F.lit(TOKEN_PATTERN), F.lit(0)))).alias("n"))
-            self._max_tokens = int(n.first().n or 1)
+        n = g.select(F.max(F.size(F.regexp_extract_all("entry", F.lit(TOKEN_PATTERN), F.lit(0)))).alias("n"))
+        self._max_tokens = int(n.first().n or 1)
 
     def tag(self, df: DataFrame, text: str = "text", tokens: str = "tokens", out: str = "labels") -> DataFrame:
         self._load()
         if self.gazetteer is not None and not self._inline:
             return self._tag_with_join(df, text, tokens, out)
-        key = (text, tokens, tuple(self._entries or ()), self._max_tokens)
+        key = (id(df.sparkSession), text, tokens, tuple(self._entries or ()), self._max_tokens)
         if key not in _BUILT:  # building the expression is the costly part; it is reusable
+            if len(_BUILT) >= 16:
+                _BUILT.clear()
             _BUILT[key] = rule_labels(F.col(text), F.col(tokens), self._entries, self._max_tokens)
         return df.withColumn(out, _BUILT[key])
 
     def _tag_with_join(self, df: DataFrame, text: str, tokens: str, out: str) -> DataFrame:
         from .broadcast import join_small
-        k_max, key = self._max_tokens, self.key
-        base = df.withColumn("_base", rule_labels(F.col(text), F.col(tokens)))
+        k_max = self._max_tokens
 
-        def candidates(tok, lab):
+        def candidates(tok):
             x = _Ctx(F.col(text), tok)
 
             def runs(_, i):
-                items = []
-                for k in range(1, k_max + 1):
-                    ok = _t(x.tok(i).rlike(UPPER_FIRST))
-                    for j in range(k):
-                        ok = ok & _t(at(lab, i + j) == "O")
-                    items.append(F.when(ok, F.struct(i.alias("i"), F.lit(k).alias("k"),
-                                                     F.lower(_surface(x, i, k)).alias("entry"))))
-                return F.array(*items)
+                return F.array(*[F.when(_t(x.tok(i).rlike(UPPER_FIRST)) & (i + k <= F.size(tok)), F.struct(
+                    i.alias("i"), F.lit(k).alias("k"), F.lower(_surface(x, i, k)).alias("entry"))) for k in range(1, k_max + 1)])
             return F.filter(F.flatten(F.transform(tok, runs)), lambda c: c.isNotNull())
 
-        cands = base.select(key, F.explode(let(F.col(tokens), lambda tok: let(F.col("_base"), lambda lab:
-                                                                              candidates(tok, lab)))).alias("c")) \
-            .select(key, "c.i", "c.k", "c.entry")
-        hits = join_small(cands, self._entries_df(), "entry", "inner", max_rows=self.broadcast_limit) \
-            .groupBy(key, "i").agg(F.max("k").alias("k")) \
-            .groupBy(key).agg(F.collect_list(F.struct("i", "k")).alias("_hits"))
-        joined = base.join(hits, key, "left")
-
-        def loc_len(_, i):
-            return F.aggregate(F.filter(F.coalesce(F.col("_hits"), F.array().cast("array<struct<i:int,k:int>>")),
-                                        lambda h: h.i == i), F.lit(0), lambda a, h: F.greatest(a, h.k))
-        locs = _bio(F.transform(F.col(tokens), loc_len), k_max + 1, "LOCATION")
-        merged = F.zip_with(F.col("_base"), locs, lambda a, b: F.when(a != "O", a).otherwise(b))
-        return joined.withColumn(out, merged).drop("_base", "_hits")
+        own = df.withColumn("_text", F.md5(text))
+        cands = own.select("_text", F.explode(let(F.col(tokens), candidates)).alias("c")).select("_text", "c.i", "c.k", "c.entry")
+        hits = (join_small(cands, self._entries_df(), "entry", "inner", max_rows=self.broadcast_limit)
+                .groupBy("_text", "i").agg(F.max("k").alias("k"))
+                .groupBy(F.col("_text").alias("_hit")).agg(F.collect_list(F.struct(
+                    "i", (-F.col("k")).alias("neg"), F.lit(KINDS.index("LOCATION")).alias("rank"))).alias("_hits")))
+        joined = own.join(hits, F.col("_text") == F.col("_hit"), "left")
+        places = F.coalesce(F.col("_hits").cast(_MATCHES), F.array().cast(_MATCHES))
+        return joined.withColumn(out, let(F.col(tokens), lambda tok: _labels(
+            F.size(tok), F.concat(rule_matches(F.col(text), tok), places)))).drop("_text", "_hit", "_hits")
 
 
-_BUILT: dict = {}  # built tagger expressions, reused across DataFrames
+_BUILT: dict = {}  # built tagger expressions of a session, reused across DataFrames
 
 
 # ----------------------------------------------------------------------- scores and scorers

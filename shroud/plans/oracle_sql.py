@@ -170,7 +170,7 @@ _M = "(" + ", ".join(sql_str(m) for m in MONTHS) + ")"
 
 
 def _cap(x):
-    return f"coalesce(regexp_matches({x}, '^\\p{{Lu}}\\p{{Ll}}+$'), false)"
+    return f"coalesce(regexp_matches({x}, '^\\p{{Lu}}(\\p{{L}}*\\p{{Ll}}\\p{{L}}*)?$'), false)"
 
 
 def _rx(x, p):

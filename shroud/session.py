@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf["shroud.scan.partitions"] = str(shuffle_partitions)  # the test tables are files of one or two row groups
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
