@@ -332,6 +332,9 @@ def casenote_sql() -> dict[str, str]:
         "redact_documents": (
             f"WITH {maps_cte()}, {rewrite_ctes()}, "
             + redact_sql(("email", "phone", "url"), "SELECT doc_id, t3 AS text FROM r3w").removeprefix("WITH ")),
+        "scored_documents": (
+            f"WITH {maps_cte()}, {rewrite_ctes()}, "
+            + redact_sql(("email", "phone", "url"), "SELECT doc_id, t3 AS text FROM r3w").removeprefix("WITH ")),
         "training_samples": (
             f"WITH {notes_tagged_cte()}, tw AS (SELECT doc_id, CAST(pos // 510 AS INTEGER) AS window_no, pos, label "
             f"FROM tagged), ws AS (SELECT doc_id, window_no, CAST(least(count(*), 512) AS INTEGER) AS mask_sum, "

@@ -203,6 +203,7 @@ from ..functions.rewrite import replace_guarded, replace_sequential  # noqa: E40
 from ..operators.classify import RuleTagger  # noqa: E402
 from ..operators.redact import build_maps, detect, redact  # noqa: E402
 from ..operators.mapping import date_entries, location_entries, name_entries  # noqa: E402
+from ..operators.scorer import WindowedScorer, one_hot  # noqa: E402
 from ..operators.spans import bio_mentions, entity_lists, mention_rows  # noqa: E402
 
 ENTS = ("PERSON", "LOCATION", "DATE")
@@ -279,6 +280,28 @@ def q_redact_documents(spark, sf_dir):
         .select("doc_id", "redacted_text")
 
 
+class _Rescored:
+    """The rule tagger's labels, given out again as scores over small windows."""
+
+    CFG = RedactionConfig(seed=SEED, window_size=12, overlap=4)
+    MAX_LEN = 16
+
+    def __init__(self, tagger):
+        self.tagger = tagger
+
+    def tag(self, df, text="text", tokens="tokens", out="labels"):
+        ruled = self.tagger.tag(df, text, tokens, "_rule")
+        ruled = ruled.withColumn(tokens, F.zip_with(tokens, "_rule", lambda t, r: F.struct(
+            t.token.alias("token"), t.start.alias("start"), t.end.alias("end"), r.alias("rule")))).drop("_rule")
+        score = lambda padded, window: one_hot(F.transform(window, lambda t: t.rule), F.size(padded))
+        return WindowedScorer(score, self.CFG, self.MAX_LEN).tag(ruled, text, tokens, out)
+
+
+def q_scored_documents(spark, sf_dir):
+    """End to end through the windowed scorer: the same redaction as with the rule tagger itself."""
+    return redact(case_notes(spark, sf_dir), _Rescored(RuleTagger(gazetteer(spark, sf_dir))), cfg=CFG).select("doc_id", "redacted_text")
+
+
 def q_label_encode(spark, sf_dir):
     d = notes_labelled(spark, sf_dir)
     return d.select("doc_id", F.array_join(F.transform(encode_labels(F.col("labels")), lambda x: x.cast("string")),
@@ -287,8 +310,9 @@ def q_label_encode(spark, sf_dir):
 
 def q_training_samples(spark, sf_dir):
     d = notes_labelled(spark, sf_dir)
-    w = to_windows(d.withColumn("tags", F.col("labels")), 510, 0, keep=("labels",))
-    w = w.withColumn("tags", F.slice("labels", F.col("first_pos") + 1, 510)).drop("labels")
+    both = F.zip_with("tokens", "labels", lambda t, x: F.struct(t.token.alias("token"), x.alias("tag")))
+    w = to_windows(d.select("doc_id", both.alias("tokens")), 510, 0)  # a window carries its own tags alone
+    w = w.withColumn("tags", F.transform("tokens", lambda t: t.tag))
     s = prepare_samples(w, max_len=512, tags="tags")
     s = assign_batches(s, shards=1024)
     return s.select("doc_id", "window_no", "shard", "batch_no",
@@ -308,6 +332,7 @@ def casenote_queries() -> dict[str, Query]:
         "replace_literal": q_replace_literal,
         "replace_guarded": q_replace_guarded,
         "redact_documents": q_redact_documents,
+        "scored_documents": q_scored_documents,
         "label_encode": q_label_encode,
         "training_samples": q_training_samples,
     }

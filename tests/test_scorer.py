@@ -34,3 +34,19 @@ def test_windowed_scorer_roundtrip(spark):
 def test_argmax_labels(spark):
     df = spark.createDataFrame([([[0.1, 0.9] + [0.0] * 9, [0.5, 0.5] + [0.0] * 9],)], "s array<array<float>>")
     assert df.select(argmax_labels(F.col("s")).alias("l")).first().l == ["B-DATE", "O"]
+
+
+def test_windowed_scorer_as_a_detector(spark):
+    from shroud.config import RedactionConfig
+    from shroud.operators.redact import redact
+    from shroud.operators.scorer import WindowedScorer, one_hot
+    docs = spark.createDataFrame([(1, "Dr Anna Berg met Dr Leon Hale in May. " * 3), (2, ""), (3, None), (4, "nothing here")], "doc_id int, text string")
+    score = lambda padded, window: one_hot(F.transform(window, lambda t: F.when(t.token.isin("Anna", "Leon"), "B-PERSON")
+                                                       .when(t.token.isin("Berg", "Hale"), "I-PERSON").otherwise("O")), F.size(padded))
+    for overlap in (0, 2):
+        cfg = RedactionConfig(window_size=5, overlap=overlap)
+        out = {r.doc_id: r.redacted_text for r in redact(docs, WindowedScorer(score, cfg, max_len=7), cfg=cfg).collect()}
+        assert set(out) == {1, 2, 3, 4} and out[2] == "" and out[3] is None and out[4] == "nothing here"
+        assert not any(n in out[1] for n in ("Anna", "Berg", "Leon", "Hale")) and out[1].count(" met ") == 3
+    cfg = RedactionConfig(window_size=5, join_how="inner")
+    assert {r.doc_id for r in redact(docs, WindowedScorer(score, cfg, max_len=7), cfg=cfg).collect()} == {1, 4}
