@@ -167,12 +167,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _star(entries: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with the one that meets most others. ``entries``: bucket, digest, n."""
+    """Pairs of each bucket's members with the one that meets most others, as far as their classes differ.
+
+    ``entries``: bucket, digest, label (the digest itself at first), n.
+    """
     met = entries.groupBy("digest").agg(F.sum("n").alias("met"))
     seen = entries.join(met, "digest")
-    hub = seen.groupBy("bucket").agg(F.max(F.struct("met", "digest")).alias("hub"))
-    pairs = seen.select("bucket", "digest").join(hub.select("bucket", F.col("hub.digest").alias("hub")), "bucket")
-    return pairs.where(F.col("hub") != F.col("digest")).select(
+    hub = seen.groupBy("bucket").agg(F.max(F.struct("met", "digest", "label")).alias("hub"))
+    hub = hub.select("bucket", F.col("hub.digest").alias("hub"), F.col("hub.label").alias("in"))
+    return seen.select("bucket", "digest", "label").join(hub, "bucket").where(F.col("in") != F.col("label")).select(
         F.least("hub", "digest").alias("a"), F.greatest("hub", "digest").alias("b")).distinct()
 
 
@@ -203,7 +206,7 @@ def _divided(mixed: DataFrame, entries: DataFrame) -> DataFrame:
 
 def _linked(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """node, label: the classes among the members of the buckets."""
-    tested = stored(_star(entries), "near-pairs")
+    tested = stored(_star(entries.withColumn("label", F.col("digest"))), "near-pairs")
     links = stored(_verified(tested, sets), "near-links")
     labels = components(links)
     for divide in (True, False):
