@@ -59,13 +59,15 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left",
                  max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join that broadcasts ``small`` only when its measured size is below ``max_bytes``.
 
-    The size is one aggregate over ``small`` (rows and bytes of its string columns), so ``small``
+    The size is one aggregate over ``small`` (rows, bytes of its string columns, elements of its arrays), so ``small``
     should be a stored table. Beyond the bound it is a plain join, which AQE splits on skew.
     """
     size = F.lit(16 * len(small.columns))
     for name, kind in small.dtypes:
         if kind in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 32 * F.coalesce(F.array_size(F.col(f"`{name}`")), F.lit(0))
     total = small.agg(F.sum(size.cast("long"))).first()[0] or 0
     return big.join(F.broadcast(small) if total <= max_bytes else small, on, how)
 

@@ -8,7 +8,8 @@ block, and ``scan`` verifies the candidates with the regular expressions. Rules
 trigrams (``hex``) scan every text.
 
 The index holds a few bytes for each posting, and new rules over its trigrams need no new pass over
-the texts. Only rows with at least one posting carry their text into the join with the candidates.
+the texts. Candidates are broadcast where their measured size is small; beyond that, rows with at least
+one posting carry their text into a shuffle join with them.
 
 Edge cases: a null or empty text has no spans; a null id cannot be posted, so its row is verified
 against every rule; rows that share an id are posted together and each verified on its own; ids must
@@ -24,7 +25,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import matches, span_text, stored, whole
+from .common import join_checked, matches, span_text, stored, whole
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind -> (pattern, group whose length is tested, least length). The first three are the base kinds.
@@ -208,7 +209,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict =
     if not queries:
         return rows.select(key, F.array_sort("scanned").alias("spans"))
     hits = candidates(stored(build_index(docs, vocabulary, key, text), "trigram-index"), queries, vocabulary)
-    rows = rows.join(hits, rows[f"`{key}`"].cast("long") == hits.key, "left")
+    hits = stored(hits.select(F.col("key").alias("hit"), "rules"), "trigram-hits")
+    rows = join_checked(rows, hits, F.col(f"`{key}`").cast("long") == F.col("hit"))
     text = F.coalesce("text", F.lit(""))
     verified = [F.when(F.col(f"`{key}`").isNull() | F.array_contains("rules", kind), _spans(kind, text, rules))
                 .otherwise(F.array().cast(_NONE)) for kind in queries]
