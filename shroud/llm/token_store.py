@@ -1,7 +1,7 @@
 """Token ids in binary shards with a minimal perfect hash index for access by document key.
 
-``write`` encodes the texts (the tokenizers library, plus an end id), deals them out by ranges of the
-key, and has each task write one shard file in ascending key order::
+``write`` deals the texts out by ranges of the key; each task encodes its own (the tokenizers library, plus an
+end id) and writes one shard file in ascending key order::
 
     ids of all documents, little-endian (2 bytes each if the vocabulary fits, else 4)
     index: for each level of the hash, its bit table; then by slot: fingerprint (4 bytes),
@@ -27,19 +27,22 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches
+from .common import scratch, small_batches, whole
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -51,26 +54,56 @@ _U = np.uint64
 
 # --- encoding ---------------------------------------------------------------------------
 class Words:
-    """Ids of texts by the tokenizers library, which is asked once for each word.
+    """Ids of texts by the tokenizers library, which is asked once for each word or piece of one.
 
     The tokenizer drops white space, and none of its steps (NFC, lower case, split pattern, merges) looks
-    across a space or line end, so a text's ids are those of its words between spaces and line ends.
+    across a space or line end, so a text's ids are those of its words between spaces and line ends. Of a word
+    of visible ASCII and Latin letters (already in NFC, and lower-cased alike by Python) the split pattern's pieces are
+    encoded for themselves too; words with an apostrophe or a special token's beginning go to the library whole.
     """
 
+    SIMPLE = regex.compile(r"[!-&(-~\u00a1-\u024f]+")
+    PIECES = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _ask(self, texts, into: dict[str, bytes]) -> None:
+        texts = list(texts)
+        code = "H" if self.kind == "<u2" else "I"
+        swap = sys.byteorder != "little"
+        for e, t in zip(self.library.encode_batch_fast(texts, add_special_tokens=False), texts):
+            ids = array(code, e.ids)
+            if swap:
+                ids.byteswap()
+            into[t] = ids.tobytes()
+
+    def _learn(self, new) -> None:
+        simple = {}
+        for w in new:
+            letters = w.rstrip(".,;:!?")
+            low = letters.lower()
+            if low.isalpha() and max(letters) < "\u0250":  # one piece of letters, and one of what follows
+                simple[w] = (low, w[len(letters):]) if len(letters) < len(w) else (low,)
+            elif self.SIMPLE.fullmatch(w) and "<|" not in w:
+                simple[w] = self.PIECES.findall(w.lower())
+        self._ask((w for w in new if w not in simple), self.known)
+        self._ask(set().union(*simple.values()).difference(self.pieces), self.pieces)
+        for w, parts in simple.items():
+            self.known[w] = b"".join(map(self.pieces.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for e, w in zip(self.library.encode_batch_fast(new, add_special_tokens=False), new):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
+        for cache in (self.known, self.pieces):
+            if len(cache) > CACHE:
+                cache.clear()
+        if split:
+            self._learn(set().union(*split).difference(self.known))
         end = np.array([END], self.kind).tobytes()
         return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
 
@@ -80,14 +113,6 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def encode(text: Column, vocabulary: str = VOCABULARY) -> Column:
-    """Ids of a text and the end id, in the width that the vocabulary needs (binary)."""
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(words(public_tokenizers.path(vocabulary)).encode([t or "" for t in texts]), dtype=object)
-    return ids(text)
-
-
 # --- minimal perfect hash -------------------------------------------------------------------
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
     x = keys.astype(np.int64).view(_U) + _U((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -242,16 +267,17 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     Without ``shards`` Spark sizes them (spark.sql.adaptive.advisoryPartitionSizeInBytes).
     """
     small_batches(docs.sparkSession)
-    t = F.col(f"`{text}`")
+    t = whole(F.col(f"`{text}`"))
     own = F.col(f"`{key}`").cast("long")
-    coded = docs.select(own.isNotNull().alias("known"), F.coalesce(own, F.lit(0)).alias("key"), F.xxhash64(t).alias("tie"),
-                        encode(t, vocabulary).alias("ids"))
+    # the texts are dealt, not their ids: Spark samples what it deals by range, and would encode twice
+    rows = docs.select(own.isNotNull().alias("known"), F.coalesce(own, F.lit(0)).alias("key"), F.xxhash64(t).alias("tie"), t.alias("text"))
     order = ["known", "key", "tie"]
-    dealt = coded.repartitionByRange(shards, *order) if shards else coded.repartitionByRange(*order)
-    width = int(words(public_tokenizers.path(vocabulary)).kind[2:])
+    dealt = rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)
 
     def shard(batches):
-        row = _write_shard(folder, ((b["known"], b["key"], b["ids"], width) for b in batches if len(b)))
+        coder = words(public_tokenizers.path(vocabulary))
+        width = int(coder.kind[2:])
+        row = _write_shard(folder, ((b["known"], b["key"], coder.encode(b["text"].tolist()), width) for b in batches if len(b)))
         if row:
             yield pd.DataFrame([(TaskContext.get().partitionId(), *row)], columns=["shard", "file", "n_rows", "n_ids", "n_null", "least", "most"]).astype(
                 {"n_rows": "Int64", "n_ids": "Int64", "n_null": "Int64", "least": "Int64", "most": "Int64"})
