@@ -15,7 +15,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    from shroud.plans.queries import all_queries
+    assert set(all_queries()) <= set(E.oracle_sql()) <= set(E.queries())  # the optional part names its own exceptions
 
 
 @pytest.mark.parametrize("key", ["redact_contacts", "find_phones", "bio_spans", "name_map", "redact_documents",
