@@ -239,15 +239,15 @@ def brute_mcd(x, floors):
     mean = np.median(x, 0)
     cov = np.diag(np.maximum(np.median(np.abs(x - mean), 0) * 1.4826, floors) ** 2)
     far = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    bins = lambda d: np.floor(64 * np.log1p(d))
-    cut = lambda d, share: np.sort(bins(d))[int(np.ceil(share * len(d) - 1e-9)) - 1]
+    bins = lambda d, k: np.floor(k * np.log1p(d))
+    cut = lambda d, share, k: np.sort(bins(d, k))[int(np.ceil(share * len(d) - 1e-9)) - 1]
     for _ in range(quality.STEPS):
         d = far()
-        own = x[bins(d) <= cut(d, quality.SHARE)]
+        own = x[bins(d, quality.COARSE) <= cut(d, quality.SHARE, quality.COARSE)]
         mean = own.mean(0)
         cov = np.cov(own.T, bias=True) + np.diag(floors ** 2)
     d = far()
-    scale = max(np.expm1((cut(d, 0.5) + 1) / 64) / quality.CHI2_MEDIAN, 1e-3)
+    scale = max(np.expm1((cut(d, 0.5, 64) + 1) / 64) / quality.CHI2_MEDIAN, 1e-3)
     return d / scale
 
 
