@@ -455,6 +455,24 @@ def test_near_duplicate_groups(spark):
     same(got, brute_classes(rows)[0])
 
 
+def test_near_duplicates_in_large_mixed_buckets(spark):
+    """Hundreds of copies of one text, alike enough to share buckets; each is near one other copy alone."""
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for _ in range(400):
+        places = rng.choice(np.arange(5, 195), 4, replace=False)
+        for _ in range(2):  # the same places with other words
+            t = list(base)
+            for p in places:
+                t[p] = f"new{len(rows)}x{p}"
+            rows.append((len(rows), " ".join(t)))
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want, n_classes = brute_classes(rows)
+    assert n_classes < 500
+    # a pair of similarity 0.8 meets in no bucket once in 1,500 times, so all classes are found here
+    same(got, want)
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng = np.random.default_rng(5)
     a, b = {}, {}
