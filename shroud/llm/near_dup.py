@@ -8,6 +8,8 @@ one of ``COORDINATES`` coordinates, and the signature holds the earliest dart of
 ``k (ln k + 2) / total weight`` are thrown, so a long document costs little more than one dart test for
 each element; where a coordinate stays empty, the rank limit is doubled. Two documents share
 a coordinate with the probability of their weighted Jaccard similarity.
+Links are tested by the plain similarity of the sets, so a text with repeated shingles has the bands of a second signature
+too, with unit weights (that of a text without repeats is the same for both weights).
 
 *Join.* Equal texts are one node, known by their digest. Nodes meet in the buckets of ``BANDS`` bands of ``ROWS``
 coordinates (a pair of similarity 0.8 misses all of them once in 1,500 times). In each bucket all members are compared with one, the member that
@@ -109,16 +111,22 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -
         limit *= 2
 
 
+def _bands(s: np.ndarray) -> np.ndarray:
+    s, out = s.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    for j in range(ROWS):
+        out = _mix(out * _ODD[0] + s[:, j])
+    return out
+
+
 def buckets(text: str) -> np.ndarray | None:
-    """Hashes of the bands of a text's signature."""
+    """Hashes of the bands of a text's signature, and of the one with unit weights where a shingle is repeated."""
     every = shingles(text)
     if not len(every):
         return None
     element, count = np.unique(every, return_counts=True)
-    s = signature(element, 1 + np.log2(count) / 8).reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
-        out = _mix(out * _ODD[0] + s[:, j])
+    out = _bands(signature(element, 1 + np.log2(count) / 8))
+    if len(element) < len(every):
+        out = np.unique(np.concatenate([out, _bands(signature(element, np.ones(len(element))))]))
     return out.view(np.int64)
 
 

@@ -487,6 +487,14 @@ def test_signatures_estimate_the_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - true) < 0.03
 
 
+def test_a_text_and_its_multiple_share_a_bucket():
+    for i in range(40):
+        once = " ".join(f"w{i}x{j}" for j in range(60))
+        many = " ".join([once] * 256)
+        assert set(near_dup.buckets(once)) & set(near_dup.buckets(many)), i
+        assert len(set(near_dup.buckets(many))) == len(near_dup.buckets(many))
+
+
 # --- 8 fingerprints ---------------------------------------------------------------------
 def test_fingerprints(docs, rows, empty, monkeypatch):
     import xxhash
