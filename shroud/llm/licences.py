@@ -1,6 +1,6 @@
 """Licence scans by canonical digest.
 
-A text is put into canonical form: copyright lines go, letters A-Z become small, punctuation,
+A text is put into canonical form: lines with a licence's title or a copyright holder go, letters A-Z become small, punctuation,
 bullets and numbering become spaces, equivalent spellings become one, white space is collapsed. The
 SHA-256 of the canonical text is joined to the digests of known licences (``LICENCES``, a bounded table, so it
 is broadcast). Lines that speak of a licence are matched in the same way to known notices
@@ -42,6 +42,11 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution."""
 LICENCES = (("MIT", _MIT), ("ISC", _ISC), ("0BSD", _0BSD), ("BSD-2-Clause", _BSD_START + _BSD_END),
             ("BSD-3-Clause", _BSD_START + _BSD_NAMES + _BSD_END), ("Zlib", _ZLIB))
+#: Digests of the canonical form of whole texts, as distributed (their texts are too long to hold here).
+WHOLE = (("Apache-2.0", "4cacaf5c14ec5ed52b76639894bc698e2c791a0ce1db1db90110f73b86041807"),
+         ("GPL-2.0", "5ca608bb2eb79eb10b1a80b55bb0a99df497ce228143b9d233b5df274e85643a"),
+         ("GPL-3.0", "9212c5234c9184b16a86d4d19af68c8aa892802839d1fbc217c31237e083bca3"),
+         ("MPL-2.0", "fc6db10715dd3f8d6886221817f28e3572f579a7a350ecd43e7cdc6607bf6ba7"))
 # Names in notices, and the words that lead to them.
 NAMES = (("MIT", ("MIT License",)), ("ISC", ("ISC License",)), ("BSD-2-Clause", ("BSD 2-Clause License",)), ("BSD-3-Clause", ("BSD 3-Clause License",)),
          ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0")),
@@ -59,11 +64,17 @@ NOTICES = tuple((name, f"{lead} {the}{form}") for name, forms in NAMES for form
 #: Replacements in order; the patterns mean the same to Java, RE2 and Python.
 _COPYRIGHT = (r"(^|\n)[ \t*#/]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n")
 _STEPS = ((r"(^|\n)[ \t]*([0-9]{1,2}[.)]|\([a-z0-9]\)|[*•-])[ \t]+", " "), (r"[!-/:-@\[-`{-~‘’“”–—©\x00-\x20]+", " "))
+#: A line that is a licence's title and no more; a line that begins with "copyright" but goes on as the body of a licence
+#: joins the line before (white space is collapsed later), so it is not taken for a holder's line.
+_TITLE = (r"(^|\n)[ \t*#/=-]*(the )?(mit|expat|isc|zlib|zlib/libpng|0bsd|bsd zero clause|zero-clause bsd|(simplified |new |modified |revised )?bsd|bsd[ -][23][ -]clause|[23]-clause bsd)"
+          r"( licen[cs]e)?( \((mit|isc|iscl|isc license|zlib|0bsd|bsd-[23]-clause|[23]-clause bsd license|bsd [23]-clause)\))?[ \t:*#/=-]*\r?\n", "\n")
+_BODY = tuple((rf"\n[ \t*#/]*copyright[ \t\r\n*#/]+{w}", f" copyright {w}") for w in ("notice", "holder", "owner"))
+
 MENTION = r"[Ll]icen[cs]e|LICEN[CS]E|[Rr]ights [Rr]eserved|RIGHTS RESERVED"
 
 
 def _steps(copyright_lines: bool):
-    yield from () if copyright_lines else (_COPYRIGHT,)
+    yield from () if copyright_lines else (_TITLE, *_BODY, _COPYRIGHT)
     yield from _STEPS
     for a, b in SPELLINGS:
         yield f" {a} ", f" {b} "
@@ -90,7 +101,8 @@ def canonical_text(text: str, copyright_lines: bool = False) -> str:
 
 
 def _digests(known, copyright_lines: bool) -> list[tuple[str, str]]:
-    return sorted({(hashlib.sha256(canonical_text(t, copyright_lines).encode()).hexdigest(), name) for name, t in known})
+    whole_texts = {(digest, name) for name, digest in WHOLE} if known is LICENCES else set()
+    return sorted({(hashlib.sha256(canonical_text(t, copyright_lines).encode()).hexdigest(), name) for name, t in known} | whole_texts)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -540,6 +540,31 @@ def test_licences(spark, docs, rows, empty):
     assert licences.scan(empty).collect() == []
 
 
+def test_titled_and_wrapped_licences(spark):
+    import textwrap
+    titles = {"MIT": ["MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License"],
+              "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", "# New BSD License"], "Zlib": ["zlib License"]}
+    files = []
+    for name, body in licences.LICENCES:
+        for title in titles[name]:
+            for width in range(30, 100, 5):  # each wrapping breaks the lines at other words
+                lines = "\n".join(textwrap.fill(x, width) for x in body.split("\n"))
+                files.append((len(files), f"{title}\n\nCopyright (c) 2020, Somebody\nCopyright 2021 Else\n\n{lines}\n", name))
+    files += [(9000, "MIT License is good\n" + licences.LICENCES[0][1], None), (9001, "MIT License\n", None)]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame([f[:2] for f in files], "doc_id long, text string")).collect()}
+    assert got == {i: name for i, _, name in files}
+
+
+def test_whole_licence_texts(spark):
+    from pathlib import Path
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0"}
+    texts = {n: Path("/usr/share/common-licenses", f) for n, f in files.items()}
+    if not all(p.exists() for p in texts.values()):
+        pytest.skip("no licence texts on this system")
+    got = licences.scan(spark.createDataFrame([(n, p.read_text()) for n, p in texts.items()], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licence for r in got} == {n: n for n in files}
+
+
 # --- 10 URLs ----------------------------------------------------------------------------
 def brute_rule(host, path):
     best = None
