@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +46,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once in a session, so that Python workers import it wherever the driver was started."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = f"{os.path.basename(top)}_package.zip"
+    context = spark.sparkContext
+    if any(str(p).endswith(name) for p in context._python_includes):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), name)
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(top):
+            for f in files:
+                if f.endswith(".py"):
+                    out.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(top)))
+    context.addPyFile(path)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """At most ``rows`` rows in an Arrow batch, so that a batch of very long texts stays small.
+    """At most ``rows`` rows in an Arrow batch, so that a batch of very long texts stays small; the package goes to the workers.
 
     It is the session's setting; a smaller value that the user has chosen stays.
     """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if not 0 < now <= rows:
