@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, fingerprint, licences, mix, near_dup, pii, quality, secrets, token_store, url_filter
+from . import (alignment, bpe_tree, fingerprint, licences, mix, near_dup, pii, quality, secrets, sharding, token_store, url_filter,
+               whitening)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,10 +66,26 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_qd_whitening(spark, sf_dir):
+    """Whitened components of every embedding."""
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    """Alignment of two tokenizers over every document."""
+    return alignment.measures(read(spark, sf_dir, "documents"))
+
+
+def op13_hypergeometric_shards(spark, sf_dir):
+    """Shard and slot of every document."""
+    return sharding.report(read(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_trigram_secrets, op2_weak_pii, op3_bpe_tree, op4_mcd_quality, op5_token_store, op6_pareto_mix, op7_dart_minhash,
-        op8_content_chunks, op9_licence_digests, op10_url_filter)}
+        op8_content_chunks, op9_licence_digests, op10_url_filter, op11_qd_whitening, op12_token_alignment,
+        op13_hypergeometric_shards)}
 
 
 def all_sql() -> dict[str, str]:
