@@ -27,17 +27,16 @@ from __future__ import annotations
 
 import functools
 import os
-import sys
 import uuid
 import zlib
-from array import array
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,7 +45,8 @@ from .common import scratch, small_batches, whole
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-CACHE = 400_000  # words whose ids a Python worker remembers
+CACHE = 600_000  # pieces whose ids a Python worker remembers
+AT_ONCE = 8 << 20  # bytes of text that are encoded together
 MAX_FENCES = 1_000_000
 MAGIC = 0x53484C4D
 _U = np.uint64
@@ -54,58 +54,105 @@ _U = np.uint64
 
 # --- encoding ---------------------------------------------------------------------------
 class Words:
-    """Ids of texts by the tokenizers library, which is asked once for each word or piece of one.
+    """Ids of texts by the tokenizers library, which is asked once for each piece of a word.
 
     The tokenizer drops white space, and none of its steps (NFC, lower case, split pattern, merges) looks
-    across a space or line end, so a text's ids are those of its words between spaces and line ends. Of a word
-    of visible ASCII and Latin letters (already in NFC, and lower-cased alike by Python) the split pattern's pieces are
-    encoded for themselves too; words with an apostrophe or a special token's beginning go to the library whole.
+    across a space or line end, so a text's ids are those of its words between spaces and line ends. A batch's words are split and
+    numbered by Arrow. Words of visible ASCII and Latin letters (already in NFC, and lower-cased alike by Arrow) are cut into the
+    split pattern's pieces there too; words with an apostrophe or a special token's beginning go to the library whole. Pieces are asked
+    for in lines of ``LINE``, which the tokens that end a word (``</w>``) cut again. Ids are gathered by numpy.
     """
 
-    SIMPLE = regex.compile(r"[!-&(-~\u00a1-\u024f]+")
-    PIECES = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    SIMPLE = "^[!-&(-~\u00a1-\u012f\u0131-\u024f]*$"  # U+0130 has two letters in lower case
+    PIECE = r"(\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+    LINE = 256
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _ask(self, texts, into: dict[str, bytes]) -> None:
-        texts = list(texts)
-        code = "H" if self.kind == "<u2" else "I"
-        swap = sys.byteorder != "little"
-        for e, t in zip(self.library.encode_batch_fast(texts, add_special_tokens=False), texts):
-            ids = array(code, e.ids)
-            if swap:
-                ids.byteswap()
-            into[t] = ids.tobytes()
-
-    def _learn(self, new) -> None:
-        simple = {}
-        for w in new:
-            letters = w.rstrip(".,;:!?")
-            low = letters.lower()
-            if low.isalpha() and max(letters) < "\u0250":  # one piece of letters, and one of what follows
-                simple[w] = (low, w[len(letters):]) if len(letters) < len(w) else (low,)
-            elif self.SIMPLE.fullmatch(w) and "<|" not in w:
-                simple[w] = self.PIECES.findall(w.lower())
-        self._ask((w for w in new if w not in simple), self.known)
-        self._ask(set().union(*simple.values()).difference(self.pieces), self.pieces)
-        for w, parts in simple.items():
-            self.known[w] = b"".join(map(self.pieces.__getitem__, parts))
+        vocabulary = self.library.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all pieces; the end id stays, as number 0."""
+        self.number: dict[str, int] = {}
+        self.parts, self.sizes = [np.array([END], self.kind)], [np.ones(1, np.int64)]
+        self.count = 1
+
+    def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(keys, range(self.count, self.count + len(keys))))
+        self.parts.append(ids.astype(self.kind))
+        self.sizes.append(sizes)
+        self.count += len(keys)
+
+    def _ask(self, texts: list[str], keys: list[str]) -> None:
+        ids = [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self._add(keys, np.concatenate([*ids, np.zeros(0, self.kind)]), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces, several on a line."""
+        lines = [pieces[i:i + self.LINE] for i in range(0, len(pieces), self.LINE)]
+        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(line) and last[-1] == len(ids):
+                self._add(line, ids, np.diff(last, prepend=0))
+            else:
+                self._ask(line, line)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        for cache in (self.known, self.pieces):
-            if len(cache) > CACHE:
-                cache.clear()
-        if split:
-            self._learn(set().union(*split).difference(self.known))
-        end = np.array([END], self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
+        """The ids of each text, with an end id."""
+        ids, sizes = self.encode_all(pa.array(texts, pa.string()))
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        return [ids[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with an end id; number of ids of each)."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct, word = coded.dictionary, coded.indices.to_numpy()
+        simple = pc.and_(pc.match_substring_regex(distinct, self.SIMPLE), pc.invert(pc.match_substring(distinct, "<|")))
+        pieces = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(distinct.filter(simple)), self.PIECE, r"\1 "), " ")
+        n_pieces = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) - 1  # an empty one follows the last
+        found = pieces.flatten().dictionary_encode()
+        names, at = found.dictionary.to_pylist(), found.indices.to_numpy()
+        others = distinct.filter(pc.invert(simple)).to_pylist()
+        if self.count > CACHE:
+            self.clear()
+        self._learn([x for x in names if x and x not in self.number])
+        whole = ["\n" + x for x in others]  # no piece begins like this
+        new = [i for i, x in enumerate(whole) if x not in self.number]
+        self._ask([others[i] for i in new], [whole[i] for i in new])
+        pool, sizes = np.concatenate(self.parts), np.concatenate(self.sizes)
+        self.parts, self.sizes = [pool], [sizes]
+        first = np.cumsum(sizes) - sizes
+        # the pieces of the simple words, then the other words, then the end, each with its place in the pool
+        number = np.array([self.number[x] if x else -1 for x in names], np.int64)[at] if len(at) else np.zeros(0, np.int64)
+        number = np.concatenate([number[number >= 0], np.array([self.number[x] for x in whole], np.int64), [0]])
+        ids = pool[_spread(first[number], sizes[number])]
+        # the ids of each distinct word, the end last
+        n_parts = np.ones(len(distinct) + 1, np.int64)
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(is_simple), np.flatnonzero(~is_simple), [len(distinct)]])
+        n_parts[:len(n_pieces)] = n_pieces  # in that order
+        upto = np.concatenate([[0], np.cumsum(sizes[number])])
+        close = np.cumsum(n_parts)
+        start, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        start[order], size[order] = upto[close - n_parts], upto[close] - upto[close - n_parts]
+        n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        word = np.insert(word.astype(np.int64), np.cumsum(n_words), len(distinct))
+        total = np.concatenate([[0], np.cumsum(size[word])])
+        return ids[_spread(start[word], size[word])], np.diff(total[np.concatenate([[0], np.cumsum(n_words + 1)])])
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, .. (size[0] of them), first[1], .."""
+    end = np.cumsum(size)
+    return np.repeat(first - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
 @functools.lru_cache(2)
@@ -179,8 +226,8 @@ def _open(uri: str):
     return where, path
 
 
-def _write_shard(folder: str, batches) -> tuple | None:
-    """Write one shard from batches of (known, keys, ids, width); (file, rows, ids, rows without key, smallest, largest key), None without rows."""
+def _write_shard(folder: str, batches, width: int) -> tuple | None:
+    """Write one shard from batches of (known, keys, ids, number of ids of each); (file, rows, ids, rows without key, smallest, largest key), None without rows."""
     batches = iter(batches)
     batch = next(batches, None)
     if batch is None:
@@ -190,11 +237,11 @@ def _write_shard(folder: str, batches) -> tuple | None:
     where.create_dir(top, recursive=True)
     keys, lengths, null = [], [], 0
     with where.open_output_stream(f"{top}/{name}") as out:
-        for known, key, ids, width in chain([batch], batches):
+        for known, key, ids, n in chain([batch], batches):
             null += int((~known).sum())
-            keys.append(key.to_numpy(np.int64))
-            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)) // width)
-            out.write(b"".join(ids))
+            keys.append(key)
+            lengths.append(n)
+            out.write(ids.tobytes())
         own, n = np.concatenate(keys)[null:], np.concatenate(lengths)
         first = np.cumsum(n) - n
         distinct, at, rows = np.unique(own, return_index=True, return_counts=True)
@@ -260,6 +307,25 @@ class Shard:
 _MANIFEST = "shard int, file string, n_rows long, n_ids long, n_null long, least long, most long"
 
 
+def _together(batches):
+    """(known, key, text) of neighbouring batches that have about ``AT_ONCE`` bytes of text together."""
+    held, size = [], 0
+
+    def joined():
+        known, key = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("known", "key"))
+        return known, key, pa.concat_arrays([b.column("text") for b in held])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.column("text").nbytes
+            if size > AT_ONCE:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
 def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY,
           shards: int | None = None) -> None:
     """Encode the texts and write shards and manifest to ``folder``, which all executors must reach.
@@ -276,13 +342,18 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
 
     def shard(batches):
         coder = words(public_tokenizers.path(vocabulary))
-        width = int(coder.kind[2:])
-        row = _write_shard(folder, ((b["known"], b["key"], coder.encode(b["text"].tolist()), width) for b in batches if len(b)))
+
+        def encoded():
+            for known, key, text_ in _together(batches):
+                yield known, key, *coder.encode_all(text_)
+
+        row = _write_shard(folder, encoded(), int(coder.kind[2:]))
         if row:
-            yield pd.DataFrame([(TaskContext.get().partitionId(), *row)], columns=["shard", "file", "n_rows", "n_ids", "n_null", "least", "most"]).astype(
-                {"n_rows": "Int64", "n_ids": "Int64", "n_null": "Int64", "least": "Int64", "most": "Int64"})
+            values = (TaskContext.get().partitionId(), *row)
+            types = (pa.int32(), pa.string(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], [c.split()[0] for c in _MANIFEST.split(", ")])
 
-    dealt.sortWithinPartitions(*order).drop("tie").mapInPandas(shard, _MANIFEST).write.parquet(f"{folder}/manifest")
+    dealt.sortWithinPartitions(*order).drop("tie").mapInArrow(shard, _MANIFEST).write.parquet(f"{folder}/manifest")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:

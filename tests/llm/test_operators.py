@@ -306,6 +306,17 @@ def test_words_alone_encode_as_the_text():
         assert np.frombuffer(ids, w.kind).tolist() == library_ids(t), repr(t)
 
 
+def test_every_letter_encodes_as_the_library_does(monkeypatch):
+    w = token_store.Words(public_tokenizers.path(token_store.VOCABULARY))
+    some = [f"A{chr(c)}b {chr(c)}{chr(c)}1. {chr(c)}" for c in [*range(1, 0x600), *range(0x1E00, 0x2100), 0x3000, 0xFB01]] + ["", "x" * 5000, "12 345", "..!?.."]
+    want = [library_ids(t) for t in some]
+    assert [np.frombuffer(x, w.kind).tolist() for x in w.encode(some)] == want
+    monkeypatch.setattr(token_store, "CACHE", 10)  # forgets before each batch
+    for i in range(0, len(some), 400):
+        assert [np.frombuffer(x, w.kind).tolist() for x in w.encode(some[i:i + 400])] == want[i:i + 400]
+    assert w.encode([]) == []
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 1000, 20_000):
