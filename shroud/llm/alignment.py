@@ -22,12 +22,14 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ from .common import small_batches, stored
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HEAD = 1 << 20
 HOT = 2048
-SLICE = 4 << 20  # bytes of text that are aligned at once
-CACHE = 400_000
-PENDING = 4_000_000
+SLICE = 1 << 20  # characters of text that are aligned at once, or one text
+CACHE = 300_000  # words whose ids a Python worker remembers
+PENDING = 1 << 19  # links that a task adds up at once
 
 
 def byte_characters() -> dict[str, int]:
@@ -72,42 +74,45 @@ class Pair:
         self.length_b = np.array([len(x) for x in self.bytes_b])
         # every id with what follows it: inside its group, at the end of it
         self.written = [b"%d%c" % (i, s) for i in range(self.n_a) for s in b",|"] + [b"%d%c" % (i, s) for i in range(self.n_b) for s in b",;"]
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes | None] = {}
 
-    def second(self, texts: list[str]) -> list[list[int]]:
-        """B's ids of each text."""
+    def _checked(self, text: str, ids: list[int]) -> bytes | None:
+        """B's ids of a text (4 bytes each); None where their bytes are not those of a space and the text."""
+        return np.array(ids, "<u4").tobytes() if b"".join(map(self.bytes_b.__getitem__, ids)) == (" " + text).encode() else None
+
+    def second(self, texts: list[str]) -> list[bytes | None]:
+        """B's ids of each text, 4 bytes each; None where their bytes are not those of a space and the text."""
         split = [t.split(" ") if self.by_word and t and "▁" not in t and "  " not in t and t[0] != " " and t[-1] != " " else None for t in texts]
         if len(self.words) > CACHE:
             self.words.clear()
         new = list(set().union(*(s for s in split if s)).difference(self.words))
-        self.words.update(zip(new, self.b.encode(new, num_threads=1)))
+        self.words.update((w, self._checked(w, ids)) for w, ids in zip(new, self.b.encode(new, num_threads=1)))
         known = self.words.__getitem__
         out = []
         for text, words in zip(texts, split):
             if words is None:
-                out.append(self.b.encode(text, num_threads=1))
-            else:
-                ids = []
-                for w in map(known, words):
-                    ids += w
-                out.append(ids)
+                out.append(self._checked(text, self.b.encode(text, num_threads=1)))
+            else:  # a text's bytes are right where those of its words are
+                parts = list(map(known, words))
+                out.append(None if None in parts else b"".join(parts))
         return out
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
         """Ids of each text by A and by B; none where the bytes of either differ from a space and the text."""
-        a, b = [self.a.encode_ordinary(" " + t) for t in texts], self.second(texts)
+        a, b = [self.a.encode_to_numpy(" " + t, disallowed_special=()) for t in texts], self.second(texts)
         for i, t in enumerate(texts):
-            raw = (" " + t).encode()
-            if b"".join(map(self.bytes_a.__getitem__, a[i])) != raw or b"".join(map(self.bytes_b.__getitem__, b[i])) != raw:
-                a[i], b[i] = [], []
+            # A's tokens are pieces of the bytes, so their length tells whether any is missing
+            if b[i] is None or int(self.length_a[a[i]].sum()) != len((" " + t).encode()):
+                a[i], b[i] = a[i][:0], b""
         return a, b
 
     def align(self, texts: list[str]) -> dict[str, list]:
         """Columns n_a, n_b, n_groups, n_links, groups (written out), codes and times (links by pair of ids) of the texts."""
         ids_a, ids_b = self.encode(texts)
         k = len(texts)
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, k) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        n_a, n_b = np.fromiter(map(len, ids_a), np.int64, k), np.fromiter(map(len, ids_b), np.int64, k) // 4
+        a = np.concatenate([*ids_a, np.zeros(0, np.uint32)]).astype(np.int64)
+        b = np.frombuffer(b"".join(ids_b), "<u4").astype(np.int64)
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         size = int(end_a[-1]) if len(a) else 0
         in_a, in_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
@@ -188,26 +193,30 @@ def _size_of_second(second: str) -> int:
 
 
 def pair_counts(aligned: DataFrame, second: str = SECOND) -> DataFrame:
-    """a, b, links, best: how often each pair of ids is linked, copies counted, and whether no A id is linked to b more often."""
+    """a, b, links, best: how often each pair of ids is linked, copies counted, and whether no A id is linked to b more often.
+
+    The sums are stored; what is added to them is cheap.
+    """
     n_b = _size_of_second(second)
 
     def add(batches):
         codes, counts, pending = [], [], 0
 
         def total():
-            code, at = np.unique(np.concatenate(codes), return_inverse=True)
-            sums = np.zeros(len(code), np.int64)
-            np.add.at(sums, at, np.concatenate(counts))
-            return code, sums
+            code = np.concatenate(codes)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            return code[first], np.add.reduceat(np.concatenate(counts)[order], first)
 
         def rows(code, sums):
             return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(sums, pa.int64())], ["code", "links"])
 
         for batch in batches:
             c, t, n = (batch.column(x).to_pylist() for x in ("codes", "times", "copies"))
-            if not c:
-                continue
             sizes = np.fromiter(map(len, c), np.int64, len(c)) // 4
+            if not sizes.sum():
+                continue
             codes.append(np.frombuffer(b"".join(c), "<u4").astype(np.int64))
             counts.append(np.frombuffer(b"".join(t), "<u4").astype(np.int64) * np.repeat(np.array(n, np.int64), sizes))
             pending += int(sizes.sum())
@@ -226,22 +235,35 @@ def pair_counts(aligned: DataFrame, second: str = SECOND) -> DataFrame:
     return sums.join(F.broadcast(most), "b").select("a", "b", "links", (F.col("links") == F.col("most")).alias("best"))
 
 
-def scored(aligned: DataFrame, pairs: DataFrame, second: str = SECOND, head: int = HEAD) -> DataFrame:
+class Head(NamedTuple):
+    """The pairs seen most, for the tasks: those of ``2 ** step`` links at least."""
+
+    step: int
+    whole: bool  # no other pairs
+    n_b: int
+    table: Broadcast  # (codes, links, best), by code
+
+    @classmethod
+    def of(cls, pairs: DataFrame, second: str = SECOND, most: int = HEAD) -> Head:
+        """At most ``most`` of a ``pair_counts`` table, in whole powers of two from the top."""
+        n_b, log = _size_of_second(second), F.floor(F.log2("links"))
+        steps = pairs.groupBy(log.alias("step")).count().orderBy(F.desc("step")).collect()  # 64 at most
+        step, taken = 64, 0
+        for x in steps:
+            if taken + x["count"] > most:
+                break
+            step, taken = x["step"], taken + x["count"]
+        top = pairs.where(log >= step).select((F.col("a") * n_b + F.col("b")).alias("code"), "links", "best").toArrow().sort_by("code")
+        table = pairs.sparkSession.sparkContext.broadcast(tuple(top.column(c).to_numpy() for c in ("code", "links", "best")))
+        return cls(step, taken == sum(x["count"] for x in steps), n_b, table)
+
+
+def scored(aligned: DataFrame, pairs: DataFrame, head: Head) -> DataFrame:
     """text_sha, copies, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each distinct text.
 
-    ``pairs`` is a stored ``pair_counts`` table. The ``head`` pairs seen most go to the tasks; the rest is joined.
+    Pairs of the head are looked up in the tasks, the others by a join.
     """
-    spark, n_b = aligned.sparkSession, _size_of_second(second)
-    steps = pairs.groupBy(F.floor(F.log2("links")).alias("step")).count().orderBy(F.desc("step")).collect()  # 64 at most
-    least, taken = None, 0
-    for step in steps:  # whole powers of two, from the top
-        if taken + step["count"] > head:
-            break
-        least, taken = step["step"], taken + step["count"]
-    whole = taken == sum(s["count"] for s in steps)
-    frequent = F.floor(F.log2("links")) >= (least if least is not None else 64)
-    top = pairs.where(frequent).select((F.col("a") * n_b + F.col("b")).alias("code"), "links", "best").toArrow().sort_by("code")
-    table = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy() for c in ("code", "links", "best")))
+    n_b, table = head.n_b, head.table
 
     def parts(batch):
         """Text of each entry, code, times, place in the table, found there."""
@@ -268,9 +290,9 @@ def scored(aligned: DataFrame, pairs: DataFrame, second: str = SECOND, head: int
 
     kept = ["text_sha", "copies", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     out = aligned.mapInArrow(score, "text_sha binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
-    if whole:
+    if head.whole:
         return out
-    rare = pairs.where(~frequent).select((F.col("a") * n_b + F.col("b")).alias("code"), "links", "best")
+    rare = pairs.where(F.floor(F.log2("links")) < head.step).select((F.col("a") * n_b + F.col("b")).alias("code"), "links", "best")
     rest = aligned.select("text_sha", "codes", "times").mapInArrow(others, "text_sha binary, code long, times long").join(rare, "code")
     rest = rest.groupBy("text_sha").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"),
                                         F.sum(F.col("times") * F.col("links")).alias("more_sum"))
@@ -282,14 +304,16 @@ def scored(aligned: DataFrame, pairs: DataFrame, second: str = SECOND, head: int
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND, head: int = HEAD) -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     aligned = stored(aligned_texts(docs, text, first, second), "alignment-texts")
-    of = stored(scored(aligned, stored(pair_counts(aligned, second), "alignment-pairs"), second, head), "alignment-measures")
+    pairs = pair_counts(aligned, second)
+    top = Head.of(pairs, second, head)
     t = F.col(f"`{text}`")
     rows = docs.where(t.isNotNull() & (t != "")).select(F.col(f"`{key}`").alias(key), F.unhex(F.sha2(t, 256)).alias("text_sha"))
-    total = of.agg(F.sum("copies")).first()[0] or 0
+    total = aligned.agg(F.sum("copies")).first()[0] or 0
     often = F.col("copies") * HOT > total  # fewer than HOT texts
-    hot, cold = F.broadcast(of.where(often)), of.where(~often)
+    hot, cold = (scored(aligned.where(x), pairs, top) for x in (often, ~often))
+    known = F.broadcast(aligned.where(often).select("text_sha"))
     counts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    out = rows.join(hot, "text_sha").unionByName(rows.join(hot.select("text_sha"), "text_sha", "left_anti").join(cold, "text_sha"))
+    out = rows.join(F.broadcast(hot), "text_sha").unionByName(rows.join(known, "text_sha", "left_anti").join(cold, "text_sha"))
     without = docs.where(t.isNull() | (t == "")).select(
         F.col(f"`{key}`").alias(key), *[F.lit(0).cast("long").alias(c) for c in counts], F.lit("").alias("groups_sha256"))
     return out.select(key, *counts, "groups_sha256").unionByName(without)
