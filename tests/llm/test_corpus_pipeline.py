@@ -8,8 +8,8 @@ import pytest
 
 import corpus_pipeline
 import public_tokenizers
-from shroud.llm import bpe_tree, mix
-from test_operators import base_stats, brute_classes, brute_mix, pii_spans, prose, shingle_sets
+from shroud.llm import bpe_tree, mix, quality
+from test_operators import base_stats, brute_classes, brute_distances, brute_mix, pii_spans, prose, quality_vectors, shingle_sets
 
 
 def documents():
@@ -58,7 +58,9 @@ def test_stages_in_a_chain(spark, sf_dir):
     def passes(t):
         s = base_stats(t)
         return s[0] >= 10 and 100 * s[4] <= 20 * s[0]
-    good = [r for r in rows if passes(r[1])]  # groups are too small for estimates
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    far = brute_distances(quality_vectors(frame))
+    good = [tuple(r) for r, d in zip(frame.collect(), far) if passes(r.text) and d <= quality.CUTOFF]
     assert Counter(r[:5] for r in got["quality rules"]) == Counter(good)
 
     want, n_classes = brute_classes(good)

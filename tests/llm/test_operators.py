@@ -220,54 +220,147 @@ def base_stats(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside)
 
 
-def test_quality_statistics(docs, rows, empty):
-    want = []
+def quality_vectors(df):
+    """doc rows' (lang, source, base_failed, vector) by the operator's own statistics, in the order of ``collect``."""
+    q = quality
+    return [(r[q.LANG], r[q.SOURCE], r[q.PREFIX + "base_failed"], np.array(r[q.X]) / q.UNIT)
+            for r in q.with_statistics(df, "text", "lang", "source").collect()]
+
+
+def brute_mcd(x):
+    """The estimate in numpy, with numpy's inverse and determinant: (mean, covariance)."""
+    q = quality
+    floors, p = np.array(q.FLOORS), q.P
+
+    def step(mean, cov):
+        d = np.maximum(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean), 0)
+        b = np.floor(q.COARSE * np.log1p(d))
+        own = x[b <= np.sort(b)[int(np.ceil(q.SHARE * len(b) - 1e-9)) - 1]]
+        cov = np.cov(own.T, bias=True) + np.diag(floors ** 2)
+        return own.mean(0), cov, np.linalg.slogdet(cov)[1]
+
+    med = np.median(x, 0)
+    mad = np.maximum(np.median(np.abs(x - med), 0) * 1.4826, floors)
+    z = (x - med) / mad
+    r = np.linalg.norm(z, axis=1, keepdims=True)
+    u = np.round(q.DIRECTION * np.divide(z, r, out=np.zeros_like(z), where=r > 0))
+    turned = np.outer(mad, mad) * (p * (u.T @ u) / len(x) / q.DIRECTION ** 2 + 0.1 * np.eye(p))
+    starts = [(med, np.diag(mad ** 2)), (med, turned), (x.mean(0), np.cov(x.T, bias=True) + np.diag(floors ** 2))]
+    after = []
+    for mean, cov in starts:
+        for _ in range(q.FIRST_STEPS):
+            mean, cov, det = step(mean, cov)
+        after.append((det, mean, cov))
+    det, mean, cov = min(after, key=lambda a: a[0])
+    for _ in range(q.MOST_STEPS):
+        new = step(mean, cov)
+        if not new[2] < det - q.FALLS:
+            break
+        mean, cov, det = new
+    return mean, cov
+
+
+def brute_distances(rows):
+    """Scaled distance of each of ``quality_vectors``, with the language and then all rows behind small groups; 0 where nothing passes."""
+    q = quality
+    good = [r for r in rows if not r[2]]
+    at = lambda same: np.array([r[3] for r in good if same(r)]).reshape(-1, q.P)
+    models, out = {}, []
+    for lang, source, _, x in rows:
+        levels = [(lambda r: r[:2] == (lang, source)), (lambda r: r[0] == lang), (lambda r: True)]
+        if not any(map(levels[0], good)):
+            out.append(0.0)
+            continue
+        level = next((i for i, same in enumerate(levels) if len(at(same)) >= q.MIN_GROUP), 2)
+        key = (level, lang if level < 2 else None, source if level < 1 else None)
+        if key not in models:
+            own = at(levels[level])
+            mean, cov = brute_mcd(own)
+            far = np.einsum("ij,jk,ik->i", own - mean, np.linalg.inv(cov), own - mean)
+            middle = np.sort(np.floor(64 * np.log1p(far)))[int(np.ceil(0.5 * len(far) - 1e-9)) - 1]
+            models[key] = mean, np.linalg.inv(cov), max(np.expm1((middle + 1) / 64) / q.MEDIAN, 1.0)
+        mean, inverse, scale = models[key]
+        out.append(float((x - mean) @ inverse @ (x - mean)) / scale)
+    return out
+
+
+def test_quality_verdicts(docs, rows, empty):
+    """Base statistics by plain loops; verdicts by the brute-force estimate: these groups are small, so that of all rows holds."""
+    far = brute_distances(quality_vectors(docs))
+    by_text = {}
+    for r, d in zip(docs.collect(), far):
+        by_text[r.doc_id, r.text, r.lang, r.source] = d
+    want, kept = [], Counter()
     for r in rows:
         s = base_stats(r[1])
         bad = s[0] < 10 or 100 * s[4] > 20 * s[0]
-        want.append((r[0], *s, bad, not bad))  # the groups here are too small for an estimate
-    got = quality.verdicts(docs).drop("distance").collect()
-    same(got, want)
-    kept = quality.kept_rows(docs)
-    assert kept.columns == docs.columns
-    assert Counter(r.text for r in kept.collect()) == Counter(r[1] for r, w in zip(rows, want) if w[-1])
+        d = by_text[r[:4]]
+        want.append((r[0], *s, bad, not bad and d <= quality.CUTOFF))
+        kept[r] += want[-1][-1]
+    assert 0 < len([w for w in want if w[-1]]) < len([w for w in want if not w[-2]])  # the method rejects some
+    got = quality.verdicts(docs)
+    same(got.drop("distance").collect(), want)
+    distances = Counter(round(r.distance, 4) for r in got.collect())
+    assert distances == Counter(round(d, 4) for d in far)
+    stay = quality.kept_rows(docs)
+    assert stay.columns == docs.columns
+    assert Counter(map(tuple, stay.collect())) == +kept
     assert quality.verdicts(empty).collect() == [] and quality.kept_rows(empty).collect() == []
 
 
-def brute_mcd(x, floors):
-    """The same concentration steps in numpy."""
-    mean = np.median(x, 0)
-    cov = np.diag(np.maximum(np.median(np.abs(x - mean), 0) * 1.4826, floors) ** 2)
-    far = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    bins = lambda d, k: np.floor(k * np.log1p(d))
-    cut = lambda d, share, k: np.sort(bins(d, k))[int(np.ceil(share * len(d) - 1e-9)) - 1]
-    for _ in range(quality.STEPS):
-        d = far()
-        own = x[bins(d, quality.COARSE) <= cut(d, quality.SHARE, quality.COARSE)]
-        mean = own.mean(0)
-        cov = np.cov(own.T, bias=True) + np.diag(floors ** 2)
-    d = far()
-    scale = max(np.expm1((cut(d, 0.5, 64) + 1) / 64) / quality.CHI2_MEDIAN, 1e-3)
-    return d / scale
+def invented(rng, n, words=PROSE):
+    """Sentences whose words differ, so that no five-word window repeats."""
+    def sentence():
+        return " ".join(f"{w}{rng.integers(9999)}" for w in rng.choice(words, rng.integers(6, 12))).capitalize() + "."
+    return [" ".join(sentence() for _ in range(rng.integers(6, 22))) for _ in range(n)]
 
 
-def test_quality_outliers(spark):
+def quality_rows():
     rng = np.random.default_rng(1)
-    good = [" ".join(rng.choice(PROSE, rng.integers(60, 200), replace=True)) + "." for _ in range(150)]
-    # distinct words keep five-word windows from repeating
-    good = [" ".join(f"{w}{rng.integers(9999)}" for w in t.split()) for t in good]
+    good = invented(rng, 150)
     bad = [" ".join(f"{w.upper()}{i}!!***" for i, w in enumerate(t.split()[:80])) for t in good[:12]]
-    rows = [(i, t, "en", "s") for i, t in enumerate(good + bad)] + [(1000 + i, t, None, None) for i, t in enumerate(good[:100])]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in quality.verdicts(df).collect()}
-    assert all(got[i].kept for i in range(150)) and not any(got[150 + i].kept for i in range(12))
-    assert all(got[1000 + i].kept for i in range(100))
-    vectors = {r.doc_id: [r[f"{quality.PREFIX}x{i}"] / quality.UNIT for i in range(quality.P)]
-               for r in quality.with_statistics(df, "text", "lang", "source", "doc_id").collect()}
-    ids = [r[0] for r in rows if r[2]]
-    floors = np.array([f for _, f in quality.FEATURES.values()])
-    want = brute_mcd(np.array([vectors[i] for i in ids]), floors)
-    assert np.allclose([got[i].distance for i in ids], want, rtol=1e-6)
+    short = [" ".join(t.split()[:14]) for t in good[:20]]
+    short_bad = [" ".join(f"{w}***" for w in t.split()) for t in short[:5]]
+    rows = [(i, t, "en", "s") for i, t in enumerate(good + bad + short + short_bad)]
+    rows += [(1000 + i, t, None, None) for i, t in enumerate(good[:100])]
+    rows += [(2000 + i, t, "en", f"small{i % 9}") for i, t in enumerate(good[20:60] + bad[:3])]  # judged by the language
+    return rows + [(3000 + i, t, f"l{i}", "x") for i, t in enumerate(good[:8] + bad[:2])]  # judged by all rows
+
+
+def test_quality_outliers(spark):
+    rows = quality_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    got = {r.doc_id: r for r in quality.verdicts(df.repartition(4)).collect()}
+    bad = {*range(150, 162), *range(182, 187), 2040, 2041, 2042, 3008, 3009}
+    assert {i for i, r in got.items() if not r.kept} == bad
+    for r, d in zip(df.collect(), brute_distances(quality_vectors(df))):
+        assert got[r.doc_id].distance == pytest.approx(d, rel=1e-6)
+
+
+def test_quality_tiny_tables(spark):
+    """One row, equal rows and rows that all fail still have their verdicts."""
+    text = quality_rows()[0][1]
+    for texts, kept in (([text], 1), ([text] * 3, 3), (["too short"], 0), ([None], 0)):
+        df = spark.createDataFrame([(i, t, "en", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+        assert sum(r.kept for r in quality.verdicts(df).collect()) == kept
+
+
+def test_quality_inverse(spark):
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((30, quality.P))
+    cov = a.T @ a / 30
+    lower = [float(cov[i, j]) for i, j in quality.PAIRS]
+    r = spark.createDataFrame([(lower,)], "c array<double>").select(quality._inverse(quality.F.col("c")).alias("i")).first().i
+    assert np.allclose(r.p, [np.linalg.inv(cov)[i, j] for i, j in quality.PAIRS]) and r.logdet == pytest.approx(np.linalg.slogdet(cov)[1])
+
+
+def test_quality_labels(spark):
+    """The labelled documents of sf0.01: junk goes, clean documents stay."""
+    d = "/root/testdata/sf0.01"
+    got = quality.verdicts(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
+    n = {r.quality: (r.n, r.kept) for r in got.groupBy("quality").agg({"*": "count"}).withColumnRenamed("count(1)", "n").join(
+        got.where("kept").groupBy("quality").count().withColumnRenamed("count", "kept"), "quality", "left").na.fill(0).collect()}
+    assert n[0][1] <= 0.05 * n[0][0] and n[1][1] >= 0.99 * n[1][0]
 
 
 # --- 5 token store ----------------------------------------------------------------------
