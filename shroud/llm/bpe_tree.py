@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LEAF = 8192
+LEAF = 256
 WINDOW = 8
 
 
@@ -182,8 +182,8 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     return coded.withColumn("decoded", decode(F.col("ids"), vocabulary))
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 of every row, all from ``round_trip``."""
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 of every row, all from ``round_trip``; ``with_ids`` adds the ids (binary)."""
     return round_trip(docs, key, text, vocabulary).select(
         key, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), *["ids"] * with_ids)

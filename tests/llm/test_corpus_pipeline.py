@@ -81,14 +81,15 @@ def test_stages_in_a_chain(spark, sf_dir):
     tokens = Counter()
     for r, n in mixed.items():
         ids = plain.encode_ordinary(r[1])
-        tokens[r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(r[1].encode()).hexdigest()] += n
-    assert Counter(got["tokens"]) == tokens
+        raw = np.array(ids, "<u4").tobytes()
+        tokens[r[0], len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(r[1].encode()).hexdigest(), raw] += n
+    assert Counter((*r[:4], bytes(r[4])) for r in got["tokens"]) == tokens
 
 
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.collect() == []
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.collect() == []
 
 
 def test_the_stages_are_the_dealt_ones():
