@@ -40,8 +40,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return bpe_tree.digests(docs)
+    """Token ids of every document of the mix: doc_id, n_tokens, ids_sha256, decoded_sha256, ids (little-endian, 4 bytes each)."""
+    return bpe_tree.digests(docs, with_ids=True)
 
 
 STAGES = [
