@@ -57,4 +57,5 @@ class RedactionConfig:
     join_how: str = "left"       # "inner" reproduces dropping empty documents (D5/D6)
     ref_date: str = "2024-01-01"  # fills missing date fields, keeps results reproducible
     order: tuple = ("email", "phone", "url")
+    mode: str = "chain"          # "spans": all finds on the original text, overlaps longest first, one rewrite by position
     span_entities: tuple = field(default=SPAN_ENTITIES)

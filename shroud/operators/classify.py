@@ -2,236 +2,101 @@
 scores (CLS2), attaching window predictions (CLS3) and the plug point for a user's own batch
 scorer (CLS1).
 
-The rule tagger labels tokens with BIO tags for PERSON, DATE and LOCATION using only array
-expressions inside each document row:
+The rule tagger finds spans on the raw text (``functions/textspans.py``), so no rule runs at each token:
 
 * PERSON: the whole run of capitalised words on one line after a cue (``Name:``, ``Dr.``, ``Mr.``,
-  ``Mrs.``, ``Ms.``, ``Prof.``; the dot may be left out). Words may have inner capitals, be joined
+  ``Mrs.``, ``Ms.``, ``Prof.``; the dot may be left out). Words may be in capitals, have inner capitals, be joined
   by a hyphen or an apostrophe (``Smith-Jones``, ``O'Neill``), or be initials (``J. Berg``).
-* DATE: ``d/d/yyyy`` (or ``yy``), ``yyyy-m-d``, ``Month d, yyyy``, ``Month d yyyy``,
-  ``d Month yyyy``, written without inner spaces except around the month name.
-* LOCATION: longest run of up to ``max_tokens`` capitalised-first tokens whose lower-cased text
+* DATE: the layouts that ``dates.parse_date`` reads, with a time of day where one follows.
+* LOCATION: the longest run of tokens, the first one capitalised, whose lower-cased text
   is a gazetteer entry (the gazetteer is a table; see ``RuleTagger``).
 
-Matches are taken from left to right, the longest first at each place (PERSON before DATE before
-LOCATION if they are equally long), and never overlap: the first token of a match is ``B-``, the rest ``I-``.
+Spans are taken from left to right, the longest first at each place (PERSON before DATE before
+LOCATION if they are equally long), and never overlap. ``tag`` writes them onto tokens: the first token of a span
+is ``B-``, the rest ``I-``; ``mentions`` needs no tokens.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import labels_by_id
-from ..functions.arrays import at, let
+from ..functions.arrays import TOKEN_PATTERN, at, let, tokenize
+from ..functions.textspans import (CAPITAL_PATTERN, HONORIFICS, KINDS, MONTHS, SPANS_TYPE, as_spans, bio_labels, date_spans,
+                                   left_to_right, located, mentions_of, person_spans)
 from .broadcast import fits
 
-# --- fixed rule vocabulary --------------------------------------------------------------
-NAME_CUES = ("name",)
-HONORIFICS = ("Dr", "Mr", "Mrs", "Ms", "Prof")
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September",
-          "October", "November", "December",
-          "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec")
-CAP_WORD = r"^\p{Lu}(\p{L}*\p{Ll}\p{L}*)?$"
-UPPER_FIRST = r"^\p{Lu}"
-JOINERS = ("-", "'", "’")
-# --- end of fixed rule vocabulary -------------------------------------------------------
-
-
-class _Ctx:
-    """Bound arrays of one row plus index helpers (out-of-range reads give NULL).
-
-    ``cls`` holds one shape code per token and ``gap`` one gap code per token, both computed once
-    per row, so the rules compare small strings instead of re-running regexes and substrings.
-    """
-
-    def __init__(self, text: Column, tokens: Column, cls: Column | None = None, gap: Column | None = None):
-        self.text, self.tokens, self.cls_arr, self.gap_arr = text, tokens, cls, gap
-
-    def tok(self, i):
-        return at(self.tokens, i).token
-
-    def start(self, i):
-        return at(self.tokens, i).start
-
-    def end(self, i):
-        return at(self.tokens, i).end
-
-    def cls(self, i):
-        return at(self.cls_arr, i)
-
-    def g(self, i):
-        return at(self.gap_arr, i)
-
-    def tight(self, i):
-        """Token i follows token i-1 with no gap."""
-        return _t(self.g(i) == 0)
-
-    def same_line(self, i):
-        return _t(self.g(i) != 2)
-
-    def spaced(self, i):
-        """Token i follows token i-1 after blanks on the same line."""
-        return _t(self.g(i) == 1)
-
-
-# shape codes: '1' one digit, '2' two digits, '4' four digits, 'M' month name, 'C' capitalised word,
-# 'U' other token starting upper case, 'o' anything else
-def shape_codes(tokens: Column) -> Column:
-    def code(t):
-        w = t.token
-        return (F.when(w.rlike(r"^\d{1,2}$"), F.when(F.length(w) == 1, F.lit("1")).otherwise(F.lit("2")))
-                .when(w.rlike(r"^\d{4}$"), F.lit("4"))
-                .when(w.isin(*MONTHS), F.lit("M"))
-                .when(w.rlike(CAP_WORD), F.lit("C"))
-                .when(w.rlike(UPPER_FIRST), F.lit("U"))
-                .otherwise(F.lit("o")))
-    return F.transform(tokens, code)
-
-
-# gap codes: 0 no gap, 1 blanks on the same line, 2 the gap holds a line break, 3 first token
-def gap_codes(text: Column, tokens: Column) -> Column:
-    def code(t, i):
-        prev_end = F.when(i == 0, F.lit(0)).otherwise(at(tokens, i - 1).end)
-        gap = F.substring(text, prev_end + 1, t.start - prev_end)
-        return (F.when(gap.contains("\n"), F.lit(2)).when(i == 0, F.lit(3))
-                .when(t.start == prev_end, F.lit(0)).otherwise(F.lit(1)))
-    return F.transform(tokens, code)
-
-
-def _t(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
-NEAR = 16  # tokens that are looked at before the rest of the text is
+__all__ = ["HONORIFICS", "MONTHS", "RuleTagger", "argmax_ids", "argmax_labels", "attach_predictions", "batch_scorer"]
 
+UPPER_FIRST = r"^\p{Lu}"
 
-def _continues(x: _Ctx, i) -> Column:
-    """Token i belongs to the same name as token i-1."""
-    cap = lambda j: _t(x.cls(j).isin("C", "M"))
-    joiner = lambda j: _t(x.tok(j).isin(*JOINERS))
-    word = cap(i) & (x.spaced(i) | (x.tight(i) & joiner(i - 1)))
-    return F.when(word, F.lit(True)).when(joiner(i), x.tight(i) & x.tight(i + 1) & cap(i + 1)).when(
-        _t(x.tok(i) == "."), x.tight(i) & _t(F.length(x.tok(i - 1)) == 1) & cap(i - 1) & cap(i + 1) & x.spaced(i + 1)).otherwise(F.lit(False))
-
-
-def _person_len(x: _Ctx, n: Column, i) -> Column:
-    """Tokens of the name that starts at i, 0 if none does: a capitalised word after a cue and all that continue it."""
-    cue = (_t((x.tok(i - 1) == ":") & F.lower(x.tok(i - 2)).isin(*NAME_CUES))
-           | _t((x.tok(i - 1) == ".") & x.tok(i - 2).isin(*HONORIFICS))
-           | _t(x.tok(i - 1).isin(*HONORIFICS)))
-
-    def end(last):  # number of the first token after i that does not continue the name, 0 if all up to ``last`` do
-        return F.array_position(F.transform(F.sequence(i + 1, last), lambda j: _continues(x, j)), F.lit(False)).cast("int")
-    run = F.when(i + 1 >= n, F.lit(1)).otherwise(let(end(F.least(i + NEAR, n - 1)), lambda e: F.when(e > 0, e).when(
-        i + NEAR >= n - 1, n - i).otherwise(let(end(n - 1), lambda f: F.when(f > 0, f).otherwise(n - i)))))
-    # the token's own shape first: most tokens are not capitalised words and stop here
-    return F.when(_t(x.cls(i).isin("C", "M")), F.when(cue & x.same_line(i), run).otherwise(F.lit(0))).otherwise(F.lit(0))
-
-
-def _date_len(x: _Ctx, i) -> Column:
-    t = x.tok
-    d12 = lambda j: _t(x.cls(j).isin("1", "2"))
-    d4 = lambda j: _t(x.cls(j) == "4")
-    yy = lambda j: _t(x.cls(j).isin("2", "4"))
-    month = lambda j: _t(x.cls(j) == "M")
-    slash = d12(i) & _t(t(i + 1) == "/") & d12(i + 2) & _t(t(i + 3) == "/") & yy(i + 4) & _all_tight(x, i, 1, 4)
-    iso = d4(i) & _t(t(i + 1) == "-") & d12(i + 2) & _t(t(i + 3) == "-") & d12(i + 4) & _all_tight(x, i, 1, 4)
-    mdy_comma = month(i) & d12(i + 1) & _t(t(i + 2) == ",") & d4(i + 3) & x.spaced(i + 1) & x.tight(i + 2) \
-        & x.spaced(i + 3)
-    mdy = month(i) & d12(i + 1) & d4(i + 2) & x.spaced(i + 1) & x.spaced(i + 2)
-    dmy = d12(i) & month(i + 1) & d4(i + 2) & x.spaced(i + 1) & x.spaced(i + 2)
-    full = (F.when(slash | iso, F.lit(5)).when(mdy_comma, F.lit(4)).when(mdy | dmy, F.lit(3))
-            .otherwise(F.lit(0)))
-    # every date starts with a number or a month name: other tokens stop here
-    return F.when(_t(x.cls(i).isin("1", "2", "4", "M")), full).otherwise(F.lit(0))
-
-
-def _all_tight(x: _Ctx, i, a: int, b: int) -> Column:
-    out = F.lit(True)
-    for k in range(a, b + 1):
-        out = out & x.tight(i + k)
-    return out
-
-
-_MATCHES = "array<struct<i:int,neg:int,rank:int>>"
-KINDS = ("PERSON", "DATE", "LOCATION")
-
-
-def _match(i, length: Column, kind: str) -> Column:
-    """A match of ``length`` tokens at token i; sorts by place, longest first, then kind. NULL if the length is 0."""
-    return let(length, lambda v: F.when(v > 0, F.struct(i.cast("int").alias("i"), (-v).cast("int").alias("neg"), F.lit(KINDS.index(kind)).alias("rank"))))
-
-
-def _labels(n: Column, matches: Column) -> Column:
-    """ARRAY<STRING> of ``n`` labels from matches, which may overlap: left to right, longest first."""
-    def take(acc, m):
-        return F.when(m.i >= acc.free, F.struct((m.i - m.neg).alias("free"), F.array_append(acc.taken, m).alias("taken"))).otherwise(acc)
-
-    def label(prefix, m):
-        return F.concat(F.lit(prefix), F.element_at(F.array(*[F.lit(k) for k in KINDS]), m.rank + 1))
-
-    def write(taken):
-        def piece(m, j):
-            free = F.when(j > 0, at(taken, j - 1).i - at(taken, j - 1).neg).otherwise(0)
-            return F.concat(F.array_repeat(F.lit("O"), m.i - free), F.array(label("B-", m)), F.array_repeat(label("I-", m), -m.neg - 1))
-        last = F.coalesce(F.try_element_at(taken, F.lit(-1)).i - F.try_element_at(taken, F.lit(-1)).neg, F.lit(0))
-        return F.concat(F.flatten(F.transform(taken, piece)), F.array_repeat(F.lit("O"), n - last))
-
-    start = F.struct(F.lit(0).alias("free"), F.array().cast(_MATCHES).alias("taken"))
-    return F.when(F.size(matches) == 0, F.array_repeat(F.lit("O"), n)).otherwise(
-        let(F.aggregate(F.array_sort(matches), start, take, lambda acc: acc.taken), write))
 
+def rule_spans(text: Column) -> Column:
+    """ARRAY of PERSON and DATE spans, which may overlap."""
+    return F.concat(person_spans(text), date_spans(text))
 
-def rule_matches(text: Column, tokens: Column, gazetteer_entries: list[str] | None = None, gazetteer_max_tokens: int = 1) -> Column:
-    """ARRAY of all matches of the rules, and of the gazetteer if it is given."""
-    def found(tok, cls, gap):
-        x = _Ctx(text, tok, cls, gap)
-        # every match starts with an upper-case letter or a number
-        starts = F.filter(F.transform(cls, lambda c, i: F.when(c != "o", i)), lambda i: i.isNotNull())
 
-        def at_place(i):
-            out = [_match(i, _person_len(x, F.size(tok), i), "PERSON"), _match(i, _date_len(x, i), "DATE")]
-            if gazetteer_entries:
-                out.append(_match(i, _location_len(x, i, gazetteer_entries, gazetteer_max_tokens), "LOCATION"))
-            return F.array(*out)
-        return F.filter(F.flatten(F.transform(starts, at_place)), lambda m: m.isNotNull()).cast(_MATCHES)
+def _pieces(tokens: Column) -> Column:
+    """Lower-cased token texts, with a blank before each that stands apart from the one before."""
+    return F.transform(tokens, lambda t, i: F.concat(
+        F.when((i > 0) & (t.start > at(tokens, i - 1).end), F.lit(" ")).otherwise(F.lit("")), F.lower(t.token)))
 
-    return let(tokens, lambda tok: let(shape_codes(tok), lambda cls: let(gap_codes(text, tok), lambda gap: found(tok, cls, gap))))
 
+class Trie:
+    """A gazetteer of limited size as sets of strings: entries, and the prefixes (by tokens) that longer entries go on from."""
 
-def rule_labels(text: Column, tokens: Column, gazetteer_entries: list[str] | None = None,
-                gazetteer_max_tokens: int = 1) -> Column:
-    """ARRAY<STRING> of BIO labels aligned with ``tokens``."""
-    return let(tokens, lambda tok: _labels(F.size(tok), rule_matches(text, tok, gazetteer_entries, gazetteer_max_tokens)))
+    def __init__(self, entries: list[str]):
+        self.entries, self.first, self.prefixes, self.most = sorted(entries), set(), set(), 1
+        for entry in entries:
+            ends = [m.end() for m in re.finditer(r"\w+|[^\w\s]", entry)]
+            if len(ends) > 1:
+                self.first.add(entry[:ends[0]])
+                self.prefixes.update(entry[:e] for e in ends[:-1])
+                self.most = max(self.most, len(ends))
 
+    def spans(self, text: Column) -> Column:
+        """ARRAY of LOCATION spans, the longest entry at each capitalised token. Rows without the first word of a longer entry are not tokenized."""
+        found = located(text, CAPITAL_PATTERN)
+        alone = lambda c: as_spans(F.filter(c, lambda m: F.lower(m.found).isin(*self.entries)), "LOCATION")
+        if self.most == 1:
+            return alone(found)
+        first, prefixes = sorted(self.first), sorted(self.prefixes)
 
-def _surface(x: _Ctx, i, k: int) -> Column:
-    parts = [x.tok(i)]
-    for j in range(1, k):
-        parts.append(F.when(x.start(i + j) > x.end(i + j - 1), F.lit(" ")).otherwise(F.lit("")))
-        parts.append(x.tok(i + j))
-    return F.concat(*parts)
+        def extend(m, tokens, starts, pieces):
+            """End of the longest entry that begins at m: tokens are added as long as the text so far is a prefix."""
+            def from_token(i):
+                begin = F.struct(F.lower(m.found).alias("text"), F.when(F.lower(m.found).isin(*self.entries), m.end).otherwise(-1).alias("end"),
+                                 F.lit(True).alias("goes_on"))
 
+                def step(acc, j):
+                    return F.when(acc.goes_on & (i + j < F.size(tokens)), let(F.concat(acc.text, at(pieces, i + j)), lambda t: F.struct(
+                        t.alias("text"), F.when(t.isin(*self.entries), at(tokens, i + j).end).otherwise(acc.end).alias("end"),
+                        t.isin(*prefixes).alias("goes_on")))).otherwise(
+                            F.struct(acc.text.alias("text"), acc.end.alias("end"), F.lit(False).alias("goes_on")))
+                return F.aggregate(F.sequence(F.lit(1), F.lit(self.most - 1)), begin, step, lambda acc: acc.end)
+            return let((F.array_position(starts, m.start) - 1).cast("int"), from_token)
 
-def _location_len(x: _Ctx, i, entries: list[str], max_tokens: int) -> Column:
-    out = F.lit(0)
-    for k in range(1, max_tokens + 1):   # longest wins: later (longer) k overrides
-        out = F.when(_t(F.lower(_surface(x, i, k)).isin(*entries)), F.lit(k)).otherwise(out)
-    return F.when(_t(x.cls(i).isin("C", "M", "U")), out).otherwise(F.lit(0))
+        def longer(c):
+            return let(tokenize(text), lambda tokens: let(F.transform(tokens, lambda t: t.start), lambda starts: let(_pieces(tokens), lambda pieces: F.filter(
+                F.transform(c, lambda m: F.struct(m.start.alias("start"), F.when(F.lower(m.found).isin(*first), extend(m, tokens, starts, pieces)).when(
+                    F.lower(m.found).isin(*self.entries), m.end).otherwise(-1).alias("end"), F.lit(KINDS.index("LOCATION")).alias("rank"))),
+                lambda s: s.end > 0)))).cast(SPANS_TYPE)
+        return let(found, lambda c: F.when(F.exists(c, lambda m: F.lower(m.found).isin(*first)), longer(c)).otherwise(alone(c)))
 
 
 class RuleTagger:
-    """Detector: ``tag(df)`` adds ``labels`` for ``tokens`` of ``text``.
+    """Detector: ``tag(df)`` adds ``labels`` for ``tokens`` of ``text``; ``mentions(df)`` adds mentions without tokens.
 
-    The gazetteer (a one-column table of lower-case entries) is inlined as a hash-set literal
+    The gazetteer (a one-column table of lower-case entries) is inlined as a ``Trie`` of hash-set literals
     when its checked size is at most ``inline_limit`` entries: then tagging is one row-local
-    expression. A larger gazetteer is matched by a join instead: candidate token runs are
-    exploded, joined to the gazetteer (broadcast only below ``broadcast_limit`` checked rows,
+    expression. A larger gazetteer is matched by a join instead: runs of tokens that begin with a capitalised one and are as long as
+    some entry are exploded, joined to the gazetteer (broadcast only below ``broadcast_limit`` checked rows,
     otherwise a shuffle join with AQE skew splitting), regrouped by text and joined back. The key is the
-    text's digest, so rows that share an id, or have none, are matched like any other, and both ways give the same labels.
+    text's digest, so rows that share an id, or have none, are matched like any other, and both ways give the same spans.
     """
 
     def __init__(self, gazetteer: DataFrame | None = None, entry_col: str = "entry", inline_limit: int = 50_000,
@@ -240,9 +105,9 @@ class RuleTagger:
         self.entry_col = entry_col
         self.inline_limit = inline_limit
         self.broadcast_limit = broadcast_limit
-        self._entries: list[str] | None = None
+        self._trie: Trie | None = None
         self._inline: bool | None = None
-        self._max_tokens = 1
+        self._lengths: list[int] = []
 
     def _entries_df(self) -> DataFrame:
         return (self.gazetteer.select(F.col(self.entry_col).alias("entry")).where(F.col("entry").isNotNull())
@@ -253,45 +118,57 @@ class RuleTagger:
             return
         g = self._entries_df()
         self._inline = fits(g, self.inline_limit)
-        from ..functions.arrays import TOKEN_PATTERN
         if self._inline:
-            self._entries = sorted(r.entry for r in g.collect())
-        n = g.select(F.max(F.size(F.regexp_extract_all("entry", F.lit(TOKEN_PATTERN), F.lit(0)))).alias("n"))
-        self._max_tokens = int(n.first().n or 1)
+            self._trie = Trie([r.entry for r in g.collect()])
+        else:  # the numbers of tokens that entries have, a few
+            n = F.size(F.regexp_extract_all("entry", F.lit(TOKEN_PATTERN), F.lit(0)))
+            self._lengths = sorted(r.n for r in g.select(n.alias("n")).distinct().collect() if r.n)
 
-    def tag(self, df: DataFrame, text: str = "text", tokens: str = "tokens", out: str = "labels") -> DataFrame:
+    def find(self, df: DataFrame, text: str = "text", out: str = "_spans") -> DataFrame:
+        """``df`` with the spans of each row, which do not overlap, in text order."""
         self._load()
         if self.gazetteer is not None and not self._inline:
-            return self._tag_with_join(df, text, tokens, out)
-        key = (id(df.sparkSession), text, tokens, tuple(self._entries or ()), self._max_tokens)
-        if key not in _BUILT:  # building the expression is the costly part; it is reusable
+            return self._find_with_join(df, text, out)
+        key = (id(df.sparkSession), text, tuple(self._trie.entries) if self._trie else ())
+        if key not in _BUILT:  # building the expression takes a call for each entry; it is reusable
             if len(_BUILT) >= 16:
                 _BUILT.clear()
-            _BUILT[key] = rule_labels(F.col(text), F.col(tokens), self._entries, self._max_tokens)
+            t = F.col(text)
+            spans = F.concat(rule_spans(t), self._trie.spans(t)) if self._trie and self._trie.entries else rule_spans(t)
+            _BUILT[key] = F.when(t.isNull(), F.array().cast(SPANS_TYPE)).otherwise(let(spans, left_to_right))
         return df.withColumn(out, _BUILT[key])
 
-    def _tag_with_join(self, df: DataFrame, text: str, tokens: str, out: str) -> DataFrame:
-        from .broadcast import join_small
-        k_max = self._max_tokens
+    def tag(self, df: DataFrame, text: str = "text", tokens: str = "tokens", out: str = "labels") -> DataFrame:
+        found = self.find(df, text, "_spans")
+        return found.withColumn(out, let(F.col("_spans"), lambda s: bio_labels(F.col(tokens), s))).drop("_spans")
 
-        def candidates(tok):
-            x = _Ctx(F.col(text), tok)
+    def mentions(self, df: DataFrame, kinds: tuple, text: str = "text", out: str = "mentions") -> DataFrame:
+        """``df`` with the mentions of ``kinds``; a row without text has none."""
+        found = self.find(df, text, "_spans")
+        return found.withColumn(out, mentions_of(F.col(text), F.col("_spans"), kinds)).drop("_spans")
+
+    def _find_with_join(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        from .broadcast import join_small
+        lengths = F.array(*[F.lit(n) for n in self._lengths])
 
-            def runs(_, i):
-                return F.array(*[F.when(_t(x.tok(i).rlike(UPPER_FIRST)) & (i + k <= F.size(tok)), F.struct(
-                    i.alias("i"), F.lit(k).alias("k"), F.lower(_surface(x, i, k)).alias("entry"))) for k in range(1, k_max + 1)])
-            return F.filter(F.flatten(F.transform(tok, runs)), lambda c: c.isNotNull())
+        def candidates(tokens, pieces):
+            def runs(t, i):
+                fit = F.filter(lengths, lambda n: (i + n <= F.size(tokens)))
+                return F.when(t.token.rlike(UPPER_FIRST), F.transform(fit, lambda n: F.struct(
+                    t.start.alias("start"), at(tokens, i + n - 1).end.alias("end"), F.ltrim(F.array_join(F.slice(pieces, i + 1, n), "")).alias("entry"))))
+            return F.flatten(F.filter(F.transform(tokens, runs), lambda r: r.isNotNull()))
 
         own = df.withColumn("_text", F.md5(text))
-        cands = own.select("_text", F.explode(let(F.col(tokens), candidates)).alias("c")).select("_text", "c.i", "c.k", "c.entry")
+        runs = let(tokenize(F.col(text)), lambda tokens: let(_pieces(tokens), lambda pieces: candidates(tokens, pieces)))
+        cands = own.where(F.col(text).isNotNull()).select("_text", F.explode(runs).alias("c")).select("_text", "c.start", "c.end", "c.entry")
         hits = (join_small(cands, self._entries_df(), "entry", "inner", max_rows=self.broadcast_limit)
-                .groupBy("_text", "i").agg(F.max("k").alias("k"))
+                .groupBy("_text", "start").agg(F.max("end").alias("end"))
                 .groupBy(F.col("_text").alias("_hit")).agg(F.collect_list(F.struct(
-                    "i", (-F.col("k")).alias("neg"), F.lit(KINDS.index("LOCATION")).alias("rank"))).alias("_hits")))
+                    "start", "end", F.lit(KINDS.index("LOCATION")).alias("rank"))).alias("_hits")))
         joined = own.join(hits, F.col("_text") == F.col("_hit"), "left")
-        places = F.coalesce(F.col("_hits").cast(_MATCHES), F.array().cast(_MATCHES))
-        return joined.withColumn(out, let(F.col(tokens), lambda tok: _labels(
-            F.size(tok), F.concat(rule_matches(F.col(text), tok), places)))).drop("_text", "_hit", "_hits")
+        t, empty = F.col(text), F.array().cast(SPANS_TYPE)
+        spans = F.concat(rule_spans(t), F.coalesce(F.col("_hits").cast(SPANS_TYPE), empty))
+        return joined.withColumn(out, F.when(t.isNull(), empty).otherwise(let(spans, left_to_right))).drop("_text", "_hit", "_hits")
 
 
 _BUILT: dict = {}  # built tagger expressions of a session, reused across DataFrames

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_BATCH_SIZE, MAX_LEN, WINDOW_OVERLAP, WINDOW_SIZE, label_map
 from ..functions.arrays import attention_mask, tokenize, truncate_or_pad, windows
 from ..functions.hashing import hash32, hash_key
-from .broadcast import join_small
 
 PAD, UNK = "[PAD]", "[UNK]"
 PAD_ID, UNK_ID = 0, 1
@@ -26,12 +25,6 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataF
     return df.withColumn(out, tokenize(F.col(text)))
 
 
-def explode_tokens(df: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """Long form ``(key, pos, token, start, end)`` of a stored tokens column."""
-    return (df.select(key, F.posexplode(tokens).alias("pos", "t"))
-            .select(key, "pos", "t.token", "t.start", "t.end"))
-
-
 def token_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Long form ``(key, pos, token, start, end)`` straight from the text; the tokenizer runs
     inside the generator (cheaper than exploding a freshly computed tokens column)."""
@@ -51,14 +44,14 @@ def to_windows(df: DataFrame, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVE
 
 def prepare_samples(df: DataFrame, max_len: int = MAX_LEN, tokens: str = "tokens", tags: str | None = None,
                     vocab: DataFrame | None = None, key_cols: tuple = ("doc_id", "window_no"),
-                    vocab_broadcast_rows: int = 2_000_000) -> DataFrame:
+                    vocab_head_rows: int = 1_000_000) -> DataFrame:
     """Model samples: tokens truncated / padded to ``max_len``, attention mask, token ids (when a
     vocabulary is given) and label ids (when ``tags`` is given, training mode)."""
     words = F.transform(F.col(tokens), lambda t: t.token) if _is_struct_tokens(df, tokens) else F.col(tokens)
     out = df.select(*key_cols, truncate_or_pad(words, max_len, PAD).alias("padded"),
                     *([truncate_or_pad(F.col(tags), max_len, "O").alias("padded_tags")] if tags else []))
     if vocab is not None:
-        out = encode_tokens(out, vocab, "padded", key_cols, "ids", vocab_broadcast_rows,
+        out = encode_tokens(out, vocab, "padded", key_cols, "ids", vocab_head_rows,
                             carry=("padded_tags",) if tags else ())
     out = out.withColumn("mask", attention_mask(F.col("padded"), PAD))
     if tags:
@@ -105,33 +98,58 @@ def build_vocabulary(tokens_long: DataFrame, token: str = "token", min_count: in
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, tokens: str, key_cols: tuple, out: str = "ids",
-                  broadcast_rows: int = 2_000_000, carry: tuple = ()) -> DataFrame:
+                  head_rows: int = 1_000_000, carry: tuple = ()) -> DataFrame:
     """Token strings -> vocabulary ids, unknown -> UNK_ID, PAD -> PAD_ID (PREP4).
 
-    Samples are hash-partitioned by key once; their tokens (and the aligned ``carry`` arrays)
-    are exploded, joined to the vocabulary (broadcast when its checked size allows, shuffle
-    join with AQE skew splitting otherwise) and regrouped per sample in the same partitioning,
-    rebuilding ``tokens``, ``out`` and every carried array. Nothing is joined back, so the
-    samples are computed once. Samples are bounded (``max_len`` tokens, never empty after
-    padding), so every regrouped row is bounded too.
+    Ids follow the counts, so the ``head_rows`` most frequent tokens are those with the smallest ids: that part of the vocabulary, a
+    proven bound, is broadcast. Tokens beyond it are rare each; they alone are shuffled, by token. No job runs while the plan is built.
+
+    A sample is told apart by the digest of its keys, tokens and carried arrays, and counted: samples that share a key, or have a null
+    one, keep their own ids, and repeated rows come out as often as they went in. Rows are hash-partitioned by that digest once; the
+    exploded tokens stay in that partitioning. Padding behind the last token is not exploded.
     """
-    df = df.repartition(*key_cols)
-    zipped = F.arrays_zip(F.col(tokens).alias("_tok"), *[F.col(c).alias(c) for c in carry])
-    exploded = df.select(*key_cols, F.posexplode(zipped).alias("_pos", "_z")) \
-        .select(*key_cols, "_pos", F.col("_z._tok").alias("_tok"), *[F.col(f"_z.{c}").alias(c) for c in carry])
+    text = [F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("\u0002"))), "\u0001") for c in (tokens, *carry)]
+    digest = F.sha2(F.concat_ws("\u0003", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in key_cols], *text), 256)
+    rows = df.withColumn("_sample", digest).groupBy("_sample").agg(
+        F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in (*key_cols, tokens, *carry)])
+    behind = F.array_position(F.transform(F.reverse(tokens), lambda t: t != PAD), F.lit(True))  # 1 if the last slot is a token
+    length = F.when(behind > 0, F.size(tokens) - behind + 1).otherwise(0).cast("int")
+    long = rows.select("_sample", F.posexplode(F.slice(tokens, 1, length)).alias("_pos", "_tok"))
+    n = len(SPECIAL_TOKENS) + head_rows
     v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
-    joined = join_small(exploded, v, "_tok", "left", max_rows=broadcast_rows)
-    ids = joined.withColumn("_id", F.when(F.col("_tok") == PAD, F.lit(PAD_ID))
-                            .otherwise(F.coalesce(F.col("_id"), F.lit(UNK_ID))))
-    grouped = ids.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_id", "_tok", *carry))).alias("_p"))
-    return grouped.select(*key_cols, F.transform("_p", lambda p: p["_tok"]).alias(tokens),
-                          F.transform("_p", lambda p: p["_id"]).alias(out),
-                          *[F.transform("_p", _field(c)).alias(c) for c in carry])
-
-
-def _field(c):
-    return lambda p: p[c]
+    found = long.join(F.broadcast(v.where(F.col("_id") < n)), "_tok", "left")
+    found = found.withColumn("_id", F.when(F.col("_tok") == PAD, F.lit(PAD_ID)).otherwise(F.col("_id")))
+    rare = found.where(F.col("_id").isNull()).drop("_id").join(v.where(F.col("_id") >= n), "_tok", "left")
+    rare = rare.groupBy("_sample").agg(F.collect_list(F.struct("_pos", F.coalesce("_id", F.lit(UNK_ID)).alias("_id"))).alias("_rare"))
+    known = found.where(F.col("_id").isNotNull()).groupBy("_sample").agg(F.collect_list(F.struct("_pos", "_id")).alias("_known"))
+    none = F.array().cast("array<struct<_pos:int,_id:int>>")
+    ids = F.array_sort(F.concat(F.coalesce("_known", none), F.coalesce("_rare", none)))
+    padded = F.concat(F.transform(ids, lambda p: p["_id"]), F.array_repeat(F.lit(PAD_ID), F.size(tokens) - F.size(ids)))
+    both = rows.join(known, "_sample", "left").join(rare, "_sample", "left")
+    each = both.withColumn(out, padded).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
+    return each.select(*key_cols, tokens, out, *carry)
+
+
+def sample_batches(df: DataFrame, key_cols: tuple = ("doc_id", "window_no"), batch_size: int = DEFAULT_BATCH_SIZE,
+                   buckets: int | None = None, rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """key_cols, sample_no, batch_no, slot: samples numbered from 0 in the order of a hash of their keys, and cut into batches (PREP7).
+
+    Two passes over the keys alone: rows of each bucket (a range of the hash), their running sum over the buckets, and the rank of a
+    sample in its bucket. The numbers are gapless over the whole table and the same for any number of buckets or partitions. The hash
+    is of the full key, so no bucket grows with one document. Samples with equal keys are numbered one after the other.
+    """
+    h = hash32(hash_key(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in key_cols]))
+    keys = df.select(*key_cols, h.alias("_h"))
+    if buckets is None:
+        buckets = max(1, -(-keys.count() // rows_per_bucket))
+    keys = keys.withColumn("_bucket", F.floor(F.col("_h") * buckets / (1 << 32)).cast("int"))
+    sizes = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # a row for each bucket
+    sizes = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", *key_cols)) - 1
+    no = (F.col("_before") + F.col("_rank")).cast("long")
+    numbered = keys.withColumn("_rank", rank).join(F.broadcast(sizes), "_bucket").withColumn("sample_no", no)
+    return numbered.select(*key_cols, "sample_no", F.floor(F.col("sample_no") / batch_size).alias("batch_no"),
+                           (F.col("sample_no") % batch_size).cast("int").alias("slot"))
 
 
 def assign_batches(df: DataFrame, key_cols: tuple = ("doc_id", "window_no"), batch_size: int = DEFAULT_BATCH_SIZE,

@@ -161,9 +161,9 @@ def token_sql() -> dict[str, str]:
 # ------------------------------------------------------------------ case notes
 
 from ..functions.dates import sql_fake_date  # noqa: E402
-from ..functions.fakes import sql_fake_location, sql_fake_name_part  # noqa: E402
+from ..functions.fakes import sql_distinct_name, sql_fake_location  # noqa: E402
 from ..operators.classify import HONORIFICS, MONTHS  # noqa: E402
-from .casenotes import CASE_NOTES_SQL, GAZETTEER_SQL  # noqa: E402
+from .casenotes import CASE_NOTES_SQL, DATED_NOTES_SQL, GAZETTEER_SQL  # noqa: E402
 
 _H = "(" + ", ".join(sql_str(h) for h in HONORIFICS) + ")"
 _M = "(" + ", ".join(sql_str(m) for m in MONTHS) + ")"
@@ -255,7 +255,9 @@ def maps_cte() -> str:
         "nw AS (SELECT doc_id, key, arg_max(value, ord * 1000 + step) AS value, arg_max(role, ord * 1000 + step) AS role "
         "FROM na GROUP BY doc_id, key)")
     return (f"{mentions_cte()}, {name_parts}, "
-            f"name_map AS (SELECT doc_id, key AS real, {sql_fake_name_part('value', 'role', 'doc_id', SEED, 'key')} AS fake FROM nw), "
+            f"nr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, role = 'last' ORDER BY key) - 1 AS rank FROM nw), "
+            f"name_map AS (SELECT doc_id, key AS real, CASE WHEN role = 'last' THEN {sql_distinct_name('last', 'rank', 'doc_id', SEED, 'key')} "
+            f"ELSE {sql_distinct_name('first', 'rank', 'doc_id', SEED, 'key')} END AS fake FROM nr), "
             f"locs AS (SELECT doc_id, value, min(ord) AS first_ord FROM ments WHERE entity = 'LOCATION' GROUP BY doc_id, value), "
             f"location_map AS (SELECT doc_id, value AS real, {sql_fake_location('value', 'doc_id', SEED)} AS fake, first_ord "
             f"FROM locs), "
@@ -310,6 +312,43 @@ def rewrite_ctes() -> str:
     return f"{spans}, {w1}, {g1}, {u1}, {v1}, {r1}, {r2}, {r3}"
 
 
+def scored_windows_sql() -> str:
+    """The linear model's scores of each token as a list, the first of the largest taken."""
+    from ..operators.models import linear_weights
+    upper, digit = "CAST(token >= 'A' AND token < '[' AS INTEGER)", "CAST(token >= '0' AND token < ':' AS INTEGER)"
+    scores = ", ".join(f"{a} * length(token) + {b} * {upper} + {c} * {digit} + {d}" for a, b, c, d in linear_weights())
+    return (f"WITH {tokens_cte()}, sc AS (SELECT doc_id, CAST(pos // 510 AS INTEGER) AS window_no, pos, [{scores}] AS l FROM tok) "
+            "SELECT doc_id, window_no, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(CAST(list_position(l, list_max(l)) - 1 AS VARCHAR), ' ' ORDER BY pos) "
+            "AS label_ids FROM sc GROUP BY doc_id, window_no")
+
+
+def spans_sql() -> str:
+    """Every find as a row on the original text; one that meets a longer (or equal and earlier) one goes; the rest is written by position."""
+    found = []
+    for rank, kind in ((3, "email"), (4, "phone"), (5, "url")):
+        p = sql_str(RE2_PATTERNS[kind])
+        found.append(
+            f"SELECT doc_id, CAST(sum(length(gap) + length(m)) OVER w - length(m) AS INTEGER) AS start, CAST(sum(length(gap) + length(m)) OVER w AS INTEGER) "
+            f"AS \"end\", {rank} AS rank, m AS value, {SQL_FAKERS[kind]('m', 'doc_id', SEED)} AS fake FROM (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, "
+            f"unnest(ms) AS m, unnest(gs[1:len(ms)]) AS gap FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS gs "
+            f"FROM notes)) WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    persons = (
+        "SELECT doc_id, start, \"end\", 0 AS rank, value, string_agg(coalesce(fake, part), ' ' ORDER BY i) AS fake FROM (SELECT p.*, nm.fake FROM "
+        "(SELECT doc_id, start, \"end\", value, unnest(range(0, len(ps))) AS i, unnest(ps) AS part FROM (SELECT *, string_split(value, ' ') AS ps FROM ments "
+        "WHERE entity = 'PERSON')) p LEFT JOIN name_map nm ON nm.doc_id = p.doc_id AND nm.real = lower(p.part)) GROUP BY ALL")
+    others = [f"SELECT m.doc_id, m.start, m.\"end\", {rank} AS rank, m.value, t.fake FROM ments m JOIN {table} t ON t.doc_id = m.doc_id AND t.real = m.value "
+              f"WHERE m.entity = '{entity}'" for rank, entity, table in ((1, "DATE", "date_map"), (2, "LOCATION", "location_map"))]
+    every = " UNION ALL ".join([f"SELECT doc_id, start, \"end\", rank, value, fake FROM ({persons})", *others, *found])
+    return (
+        f"WITH {maps_cte()}, fs AS ({every}), keep AS (SELECT * FROM fs f WHERE NOT EXISTS (SELECT 1 FROM fs g WHERE g.doc_id = f.doc_id AND g.start < f.\"end\" "
+        f"AND f.start < g.\"end\" AND ((f.start - f.\"end\") > (g.start - g.\"end\") OR ((f.start - f.\"end\") = (g.start - g.\"end\") AND "
+        f"(g.start < f.start OR (g.start = f.start AND g.rank < f.rank)))))), "
+        f"kp AS (SELECT k.*, n.text, coalesce(lag(k.\"end\") OVER w, 0) AS before FROM keep k JOIN notes n ON n.doc_id = k.doc_id "
+        f"WINDOW w AS (PARTITION BY k.doc_id ORDER BY k.start)), "
+        f"ag AS (SELECT doc_id, string_agg(substr(text, before + 1, start - before) || fake, '' ORDER BY start) AS body, max(\"end\") AS last FROM kp GROUP BY doc_id) "
+        f"SELECT n.doc_id, coalesce(a.body || substr(n.text, a.last + 1), n.text) AS redacted_text FROM notes n LEFT JOIN ag a ON a.doc_id = n.doc_id")
+
+
 def casenote_sql() -> dict[str, str]:
     return {
         "rule_tag": f"WITH {notes_tagged_cte()} SELECT doc_id, pos, token, label FROM tagged WHERE label <> 'O'",
@@ -332,6 +371,14 @@ def casenote_sql() -> dict[str, str]:
         "redact_documents": (
             f"WITH {maps_cte()}, {rewrite_ctes()}, "
             + redact_sql(("email", "phone", "url"), "SELECT doc_id, t3 AS text FROM r3w").removeprefix("WITH ")),
+        "redact_spans": spans_sql(),
+        "scored_windows": scored_windows_sql(),
+        "date_layouts": f"SELECT doc_id, 0 AS ord, 29 AS start, value, parsed, {sql_fake_date('value', 'doc_id', SEED, 'parsed')} AS fake FROM ({DATED_NOTES_SQL})",
+        "sample_batches": (
+            f"WITH {tokens_cte()}, per AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), ws AS (SELECT doc_id, CAST(unnest(range(0, "
+            f"CAST(greatest(ceil((n - 20) / 80), 1) AS BIGINT))) AS INTEGER) AS window_no FROM per), ns AS (SELECT doc_id, window_no, row_number() OVER "
+            f"(ORDER BY {sql_hash32(sql_hash_key('doc_id', 'window_no'))}, doc_id, window_no) - 1 AS sample_no FROM ws) "
+            "SELECT doc_id, window_no, sample_no, sample_no // 8 AS batch_no, CAST(sample_no % 8 AS INTEGER) AS slot FROM ns"),
         "scored_documents": (
             f"WITH {maps_cte()}, {rewrite_ctes()}, "
             + redact_sql(("email", "phone", "url"), "SELECT doc_id, t3 AS text FROM r3w").removeprefix("WITH ")),

@@ -207,8 +207,9 @@ from ..operators.scorer import WindowedScorer, one_hot  # noqa: E402
 from ..operators.spans import bio_mentions, entity_lists, mention_rows  # noqa: E402
 
 ENTS = ("PERSON", "LOCATION", "DATE")
-from ..operators.tokens import assign_batches, encode_labels  # noqa: E402
-from .casenotes import case_notes, gazetteer  # noqa: E402
+from ..functions.dates import fake_date, parse_date  # noqa: E402
+from ..operators.tokens import assign_batches, encode_labels, sample_batches  # noqa: E402
+from .casenotes import case_notes, dated_notes, gazetteer  # noqa: E402
 
 CFG = RedactionConfig(seed=SEED)
 
@@ -244,9 +245,9 @@ def q_entities_wide(spark, sf_dir):
 
 
 def _map_rows(spark, sf_dir, build, with_rank=False):
-    """Long form of one per-document map; the map is built inside the generator (see mention_rows)."""
-    d = notes_labelled(spark, sf_dir)
-    entries = build(bio_mentions(F.col("tokens"), F.col("labels"), ENTS))
+    """Long form of one per-document map."""
+    d = notes_detected(spark, sf_dir)
+    entries = build(F.col("mentions"))
     out = d.select("doc_id", F.posexplode(entries).alias("rank", "e")) \
         .select("doc_id", "rank", F.col("e.real").alias("real"), F.col("e.fake").alias("fake"))
     return out if with_rank else out.drop("rank")
@@ -280,6 +281,41 @@ def q_redact_documents(spark, sf_dir):
         .select("doc_id", "redacted_text")
 
 
+def q_scored_windows(spark, sf_dir):
+    """Labels of every token by a model that each worker sets up once: windows, padding, scores, masked argmax, unpadding."""
+    from ..functions.arrays import truncate_or_pad
+    from ..operators.models import load_linear, model_scorer, predict_linear
+    from ..operators.spans import unpad
+    from ..operators.tokens import PAD
+    score = model_scorer(spark, "linear", load_linear, predict_linear)
+    w = to_windows(doc_tokens(spark, sf_dir), 510, 0)
+    w = w.select("doc_id", "window_no", F.transform("tokens", lambda t: t.token).alias("words"))
+    w = w.select("doc_id", "window_no", F.size("words").alias("n_tokens"), truncate_or_pad(F.col("words"), 512, PAD).alias("padded"))
+    n = F.col("n_tokens")
+    w = w.withColumn("scores", score(F.col("padded"))).withColumn("mask", F.transform("padded", lambda _, i: (i < n).cast("int")))
+    ids = unpad(argmax_ids(F.col("scores"), F.col("mask")), F.col("mask"))
+    return w.select("doc_id", "window_no", "n_tokens", F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").alias("label_ids"))
+
+
+def q_date_layouts(spark, sf_dir):
+    """Dates in every layout found in a sentence, parsed and replaced."""
+    d = RuleTagger().mentions(dated_notes(spark, sf_dir), ("DATE",))
+    m = d.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.ord", "m.start", "m.value")
+    return m.withColumns({"parsed": parse_date(F.col("value"), CFG.ref_date), "fake": fake_date(F.col("value"), F.col("doc_id"), SEED, CFG.ref_date)})
+
+
+def q_sample_batches(spark, sf_dir):
+    """Windows of the documents, numbered over the whole table and cut into batches."""
+    w = _window_rows(spark, sf_dir).where(F.col("win_size") == 100)
+    return sample_batches(w.select("doc_id", "window_no"))
+
+
+def q_redact_spans(spark, sf_dir):
+    """All finds on the original text, the longest of overlapping ones, one rewrite by position."""
+    cfg = RedactionConfig(seed=SEED, mode="spans")
+    return redact(case_notes(spark, sf_dir), RuleTagger(gazetteer(spark, sf_dir)), cfg=cfg).select("doc_id", "redacted_text")
+
+
 class _Rescored:
     """The rule tagger's labels, given out again as scores over small windows."""
 
@@ -332,6 +368,10 @@ def casenote_queries() -> dict[str, Query]:
         "replace_literal": q_replace_literal,
         "replace_guarded": q_replace_guarded,
         "redact_documents": q_redact_documents,
+        "redact_spans": q_redact_spans,
+        "scored_windows": q_scored_windows,
+        "date_layouts": q_date_layouts,
+        "sample_batches": q_sample_batches,
         "scored_documents": q_scored_documents,
         "label_encode": q_label_encode,
         "training_samples": q_training_samples,

@@ -18,7 +18,9 @@ def read_text_dir(spark: SparkSession, path: str, suffix: str = "*.txt") -> Data
     """
     df = (spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", False)
           .text(path, wholetext=True))
-    return df.select(F.col("_metadata.file_name").alias("doc_id"),
+    # Spark gives the name as part of a URI (a blank is %20)
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return df.select(name.alias("doc_id"),
                      F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 

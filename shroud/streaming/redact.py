@@ -27,6 +27,9 @@ def redact_stream(stream: DataFrame, detector=None, text: str = "text", key: str
         raise ValueError("expected a streaming DataFrame (spark.readStream...)")
     if detector is None:
         return redact_contact_chain(stream, text=text, key=key, seed=cfg.seed, order=cfg.order)
+    if not hasattr(detector, "mentions"):
+        raise ValueError("streaming needs a detector that works row by row, such as RuleTagger: one that gathers windows "
+                         "joins the stream with itself; run it in batch or inside foreachBatch")
     load = getattr(detector, "_load", None)
     if load is not None:
         load()
