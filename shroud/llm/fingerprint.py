@@ -9,12 +9,13 @@ a fingerprint to another is the share of its chunks' length that the other holds
 
 ``compare`` holds each text against an edited one (its second half replaced by the beginning of the
 next text) and against the next text, in ascending order of ids. Rows are dealt into blocks of
-neighbouring ids by explicit bounds (approximate quantiles of the ids); each block also gets a
-copy of the next block's first row, so one shuffle brings each text to its neighbour, and a task
+neighbouring ids by explicit bounds (approximate quantiles of the ids; of the ties of an id that fills more than a block, and
+a draw among equal rows that do); each block also gets a
+copy of the next block's first row, so one shuffle brings each text to its neighbour, and a task, one for each block,
 streams through its sorted rows.
 
 Edge cases: a null text is an empty one; an empty text has an empty fingerprint, which contains and is
-contained in nothing but an empty one (likeness 1 of two empty ones, else 0); rows are ordered by id (null first), then by
+contained in nothing but an empty one (likeness 1 of two empty ones, else 0); rows are ordered by id (null first; the least long has null's place), then by
 the digest of the text, so repeated rows are neighbours; one row is its own next; an empty table gives an
 empty result; other input columns are not read.
 """
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -110,13 +112,62 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(f"`{key}`").alias(key), of(whole(F.col(f"`{text}`"))).alias("fingerprint"))
 
 
-def _bounds(keys: DataFrame) -> list[int]:
-    """Bounds between blocks of about ``BLOCK_ROWS`` rows: at most ``MAX_BLOCKS`` quantiles of the ids."""
-    blocks = min(MAX_BLOCKS, math.ceil(keys.count() / BLOCK_ROWS))
-    if blocks < 2:
-        return []
-    shares = [i / blocks for i in range(1, blocks)]
-    return sorted(set(keys.agg(F.percentile_approx("k", shares, max(10_000, 10 * blocks))).first()[0] or []))
+NONE = -(1 << 63)  # stands for a null id where blocks are cut
+
+
+class Bounds:
+    """Cuts between blocks in the order of (id, tie, draw): a row's block is the number of cuts before it.
+
+    An id that fills more than a block is cut by its ties, and a tie that does (one text, repeated) by a draw: its rows are equal, so any split
+    of them will do.
+    """
+
+    def __init__(self, cuts: list[tuple[int, int, int]]):
+        self.k, self.tie, self.draw = (np.array([c[i] for c in sorted(cuts)], np.int64) for i in range(3))
+
+    def block(self, k: np.ndarray, tie: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        out, end = np.searchsorted(self.k, k, "left"), np.searchsorted(self.k, k, "right")
+        for i in np.unique(out[end > out]).tolist():  # ids that hold a cut
+            rows = np.flatnonzero((out == i) & (end > out))
+            stop = int(end[rows[0]])
+            own, ties = self.tie[i:stop], tie[rows]
+            first, last = np.searchsorted(own, ties, "left"), np.searchsorted(own, ties, "right")
+            at = first.copy()
+            for f in np.unique(first[last > first]).tolist():
+                same = np.flatnonzero((first == f) & (last > first))
+                at[same] = f + np.searchsorted(self.draw[i:stop][f:int(last[same[0]])], draw[rows[same]], "left")
+            out[rows] = i + at
+        return out.astype(np.int32)
+
+
+_LAST = (1 << 63) - 1
+
+
+def _quantiles(rows: DataFrame, column: str, n: int) -> list[int]:
+    """n - 1 approximate quantiles of a column, repeated where one value holds several."""
+    shares = [i / n for i in range(1, n)]
+    return (rows.agg(F.percentile_approx(column, shares, max(10_000, 10 * n))).first()[0] or []) if n > 1 else []
+
+
+def _bounds(rows: DataFrame) -> Bounds:
+    """Cuts between blocks of about ``BLOCK_ROWS`` rows, ``MAX_BLOCKS`` blocks at most (beyond, blocks grow). ``rows`` has k and tie."""
+    blocks = min(MAX_BLOCKS, math.ceil(rows.count() / BLOCK_ROWS))
+    cuts = []
+    for near, n in Counter(_quantiles(rows, "k", blocks)).items():
+        if n == 1:
+            cuts.append((near, _LAST, _LAST))  # rows of the id itself come before the cut
+            continue
+        # quantiles are taken as doubles, so the id that holds several is looked up among those of the same double
+        k = rows.where(F.col("k").cast("double") == float(near)).groupBy("k").count().orderBy(F.desc("count"), "k").first()["k"]
+        own = rows.where(F.col("k") == k).withColumn("part", F.shiftright("tie", 11))  # exact as a double
+        cuts.append((k, _LAST, _LAST))
+        for part, m in Counter(_quantiles(own, "part", n)).items():
+            least, most = own.where(F.col("part") == part).agg(F.min("tie"), F.max("tie")).first() if m > 1 else (0, 1)
+            if least == most:  # one text, repeated
+                cuts += [(k, least, _LAST), *((k, least, -(1 << 63) + ((i << 64) // m)) for i in range(1, m))]
+            else:
+                cuts.append((k, (part << 11) + 2047, _LAST))
+    return Bounds(cuts)
 
 
 def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,14 +175,14 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     small_batches(docs.sparkSession)
     t = whole(F.col(f"`{text}`"))
     own = F.col(f"`{key}`").cast("long")  # without nulls, which pandas would turn into floats
-    rows = docs.select(own.isNotNull().alias("known"), F.coalesce(own, F.lit(0)).alias("k"), F.xxhash64(t).alias("tie"), t.alias("text"))
-    bounds = np.array(_bounds(rows.where("known").select("k")), np.int64)
+    rows = docs.select(own.isNotNull().alias("known"), F.coalesce(own, F.lit(NONE)).alias("k"), F.xxhash64(t).alias("tie"), t.alias("text"))
+    bounds = _bounds(rows.select("k", "tie"))
 
     @F.pandas_udf("int")
-    def block_of(known: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series(np.where(known, np.searchsorted(bounds, k.to_numpy(np.int64), side="left"), 0).astype(np.int32))
+    def block_of(k: pd.Series, tie: pd.Series, draw: pd.Series) -> pd.Series:
+        return pd.Series(bounds.block(*(x.to_numpy(np.int64) for x in (k, tie, draw))))
 
-    rows = rows.withColumn("block", block_of("known", "k"))
+    rows = rows.withColumn("block", block_of("k", "tie", F.xxhash64(F.monotonically_increasing_id())))
     # the first row of each block, by id and tie alone: at most one for each block
     heads = rows.groupBy("block").agg(F.min(F.struct("known", "k", "tie")).alias("h")).orderBy("block").collect()
     to = {h.block: heads[i - 1].block for i, h in enumerate(heads)}  # the first block's head goes to the last block
@@ -144,7 +195,13 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     dealt = rows.withColumn("to", goes_to("block", "known", "k", "tie"))
     dealt = dealt.select("known", "k", "tie", "text", F.posexplode("to").alias("extra", "to"))
-    dealt = dealt.repartition(max(1, len(heads)), "to").sortWithinPartitions("to", "extra", "known", "k", "tie")
+    number = {h.block: i for i, h in enumerate(heads)}  # blocks without rows get no task
+
+    @F.pandas_udf("int")
+    def task_of(block: pd.Series) -> pd.Series:
+        return block.map(number).astype(np.int32)
+
+    dealt = dealt.repartitionById(max(1, len(heads)), task_of("to")).sortWithinPartitions("to", "extra", "known", "k", "tie")
 
     def each(batches):
         last = None  # (block, key, text, fingerprint) of the row that waits for its next one

@@ -600,7 +600,8 @@ def test_a_text_and_its_multiple_share_a_bucket():
 
 
 # --- 8 fingerprints ---------------------------------------------------------------------
-def test_fingerprints(docs, rows, empty, monkeypatch):
+def brute_fingerprints(rows):
+    """Rows (id, text) in order of id and digest, each held against its edited text and the next row."""
     import xxhash
     tie = {t: xxhash.xxh64_intdigest((t or "").encode(), 42) for t in {r[1] for r in rows}}
     signed = lambda x: x - 2 ** 64 if x >= 2 ** 63 else x
@@ -612,12 +613,31 @@ def test_fingerprints(docs, rows, empty, monkeypatch):
         a, b, c = (fingerprint.fingerprint(x) for x in (own, new, nxt))
         want.append((r[0], len(own), hashlib.sha256(new.encode()).hexdigest(), fingerprint.written(a), fingerprint.written(b),
                      fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
+    return want
+
+
+def test_fingerprints(docs, rows, empty, monkeypatch):
+    want = brute_fingerprints(rows)
     same(fingerprint.compare(docs).collect(), want)
     monkeypatch.setattr(fingerprint, "BLOCK_ROWS", 7)
     same(fingerprint.compare(docs).collect(), want)
     assert fingerprint.compare(empty).collect() == []
 
 
+def test_fingerprints_of_a_hot_id(spark, monkeypatch):
+    """A third of the rows on one id, a third on null; half of each are one text: blocks stay small and results right."""
+    monkeypatch.setattr(fingerprint, "BLOCK_ROWS", 20)
+    rows = [([7, None, i][i % 3], "the same text again and again" if i % 2 else f"text {i // 3} of its own with some words") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    same(fingerprint.compare(df).collect(), brute_fingerprints(rows))
+    F = fingerprint.F
+    keys = df.select(F.coalesce("doc_id", F.lit(fingerprint.NONE)).alias("k"), F.xxhash64("text").alias("tie"), F.xxhash64(F.monotonically_increasing_id()).alias("d"))
+    bounds = fingerprint._bounds(keys)
+    r = np.array(keys.collect(), np.int64)
+    sizes = Counter(bounds.block(r[:, 0], r[:, 1], r[:, 2]).tolist())
+    assert len(sizes) >= 20 and max(sizes.values()) <= 60
+
+
 def test_chunks_follow_the_text():
     t = prose(9, 4000)
     whole = fingerprint.chunks(t.encode())
