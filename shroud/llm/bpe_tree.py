@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
 A text is halved down to leaves of at most ``LEAF`` characters; leaves are encoded by the tiktoken
-library, and neighbours are joined on the way up. ``join`` re-encodes a window around the seam, 8
+library, and neighbours are joined on the way up. ``join`` re-encodes a window around the seam, 4
 tokens wide at first and doubled until the tokens outside provably stay as they are. An outer edge
 of the window is settled when it is
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LEAF = 256
-WINDOW = 8
+LEAF = 512
+WINDOW = 4
 
 
 class Codec:
@@ -109,6 +109,8 @@ class Codec:
     @staticmethod
     def _chars(text: str, size: int, front: bool) -> int | None:
         """Characters before the edge that is ``size`` bytes from the seam; None inside a character."""
+        if text.isascii():
+            return size if front else len(text) - size
         part = text[:size] if front else text[max(0, len(text) - size):]
         raw = part.encode("utf-8")
         raw = raw[:size] if front else raw[len(raw) - size:]
@@ -119,6 +121,7 @@ class Codec:
         return n if front else len(text) - n
 
     @staticmethod
+    @functools.lru_cache(1 << 16)
     def _kind(c: str) -> str:
         """s: white space; l, n, o: letter, number, other; ?: where Unicode versions may differ."""
         if c.isspace():
