@@ -37,14 +37,41 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []  # folders of this driver that are not cleaned yet
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to shared storage and read again: evaluated once, with no lineage left."""
+    """``df`` written to shared storage and read again: evaluated once, with no lineage left.
+
+    The table stays until ``clean``: results read it whenever they are evaluated.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> frozenset[str]:
+    """The folders of stored tables so far, for ``clean(before=...)``."""
+    return frozenset(_WRITTEN)
+
+
+def clean(spark: SparkSession, *keep: DataFrame, before: frozenset[str] = frozenset()) -> int:
+    """Delete the stored tables of this driver that ``keep`` does not read and that are not in ``before``; the number of folders deleted.
+
+    Call it once a result has been written: a DataFrame that is not in ``keep`` and reads a stored table cannot be evaluated any more.
+    """
+    used = [f for df in keep for f in df.inputFiles()]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = [p for p in _WRITTEN if p not in before and not any(f"/{p.rstrip('/').rsplit('/', 1)[-1]}/" in f for f in used)]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        _WRITTEN.remove(p)
+    return len(gone)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """At most ``rows`` rows in an Arrow batch, so that a batch of very long texts stays small; the package goes to the workers.
 

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, whole
+from .common import _WRITTEN, scratch, small_batches, whole
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -428,5 +428,6 @@ def lookup(keys: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
 def stored_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the texts' ids to the shared folder and read every document back."""
     folder = scratch(docs.sparkSession, "token-store")
+    _WRITTEN.append(folder)
     write(docs, folder, key, text)
     return documents(docs.sparkSession, folder, key)
