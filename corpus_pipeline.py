@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.llm import bpe_tree, mix, near_dup, pii, quality
-from shroud.llm.common import read, stored
+from shroud.llm.common import clean, read, stored, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """Rows of the last stage; what the stages stored on the way is deleted as soon as the next stage has its input."""
+    docs, before = read(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        clean(spark, docs, before=before)  # other results may still read theirs
     return docs
