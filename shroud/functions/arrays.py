@@ -144,8 +144,8 @@ def windows(values: Column, size: int, overlap: int) -> Column:
                        lambda s: F.slice(values, s + 1, F.lit(size)))
 
 
-def truncate_or_pad(values: Column, max_len: int, pad) -> Column:
-    """First ``max_len`` elements, or the elements followed by ``pad`` up to ``max_len``."""
+def truncate_or_pad(values: Column, max_len: int | Column, pad) -> Column:
+    """First ``max_len`` elements (a number or a column), or the elements followed by ``pad`` up to ``max_len``."""
     return F.when(F.size(values) >= max_len, F.slice(values, 1, max_len)).otherwise(
         F.concat(values, F.array_repeat(F.lit(pad), F.lit(max_len) - F.size(values))))
 

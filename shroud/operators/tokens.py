@@ -7,7 +7,7 @@ token-id lookup need a shuffle; both are keyed so hot tokens cannot pile up in o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_BATCH_SIZE, MAX_LEN, WINDOW_OVERLAP, WINDOW_SIZE, label_map
@@ -42,7 +42,7 @@ def to_windows(df: DataFrame, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVE
             .withColumn("first_pos", F.col("window_no") * F.lit(step)))
 
 
-def prepare_samples(df: DataFrame, max_len: int = MAX_LEN, tokens: str = "tokens", tags: str | None = None,
+def prepare_samples(df: DataFrame, max_len: int | Column = MAX_LEN, tokens: str = "tokens", tags: str | None = None,
                     vocab: DataFrame | None = None, key_cols: tuple = ("doc_id", "window_no"),
                     vocab_head_rows: int = 1_000_000) -> DataFrame:
     """Model samples: tokens truncated / padded to ``max_len``, attention mask, token ids (when a
@@ -131,17 +131,18 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, tokens: str, key_cols: tuple,
 
 
 def sample_batches(df: DataFrame, key_cols: tuple = ("doc_id", "window_no"), batch_size: int = DEFAULT_BATCH_SIZE,
-                   buckets: int | None = None, rows_per_bucket: int = 1_000_000) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """key_cols, sample_no, batch_no, slot: samples numbered from 0 in the order of a hash of their keys, and cut into batches (PREP7).
 
     Two passes over the keys alone: rows of each bucket (a range of the hash), their running sum over the buckets, and the rank of a
     sample in its bucket. The numbers are gapless over the whole table and the same for any number of buckets or partitions. The hash
-    is of the full key, so no bucket grows with one document. Samples with equal keys are numbered one after the other.
+    is of the full key, so no bucket grows with one document; there are four for each shuffle partition of the session unless
+    ``buckets`` says otherwise. Samples with equal keys are numbered one after the other.
     """
     h = hash32(hash_key(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in key_cols]))
     keys = df.select(*key_cols, h.alias("_h"))
     if buckets is None:
-        buckets = max(1, -(-keys.count() // rows_per_bucket))
+        buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = keys.withColumn("_bucket", F.floor(F.col("_h") * buckets / (1 << 32)).cast("int"))
     sizes = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # a row for each bucket
     sizes = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))

@@ -76,7 +76,7 @@ from ..functions.arrays import add_special, strip_edges, windows  # noqa: E402
 from ..operators.tokens import (build_vocabulary, prepare_samples, to_windows, token_rows,  # noqa: E402
                                 with_tokens)
 from ..operators.classify import argmax_ids, argmax_labels  # noqa: E402
-from ..operators.spans import merge_windows  # noqa: E402
+from ..operators.spans import gather_windows, merge_windows, merged_column  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
 
 WINDOW_CONFIGS = ((510, 0, 512), (100, 20, 64))  # (window size, overlap, padded length)
@@ -120,16 +120,12 @@ def q_token_windows(spark, sf_dir):
 
 
 def q_pad_truncate_mask(spark, sf_dir):
-    parts = []
-    w = _window_rows(spark, sf_dir)
-    for size, overlap, max_len in WINDOW_CONFIGS:
-        sel = w.where((F.col("win_size") == size) & (F.col("win_overlap") == overlap))
-        s = prepare_samples(sel, max_len=max_len, key_cols=("win_size", "doc_id", "window_no"))
-        parts.append(s.select("win_size", "doc_id", "window_no", F.size("padded").alias("padded_len"),
-                              F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
-                              F.array_join("padded", " ").alias("tokens_text"),
-                              F.array_join(F.transform("mask", lambda x: x.cast("string")), "").alias("mask_text")))
-    return parts[0].unionByName(parts[1])
+    """Windows of both settings, each padded to its own length, in one pass."""
+    s = prepare_samples(_window_rows(spark, sf_dir), max_len=F.col("max_len"), key_cols=("win_size", "doc_id", "window_no"))
+    return s.select("win_size", "doc_id", "window_no", F.size("padded").alias("padded_len"),
+                    F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
+                    F.array_join("padded", " ").alias("tokens_text"),
+                    F.array_join(F.transform("mask", lambda x: x.cast("string")), "").alias("mask_text"))
 
 
 def _vocabulary(spark, sf_dir):
@@ -161,15 +157,13 @@ def q_logit_argmax(spark, sf_dir):
 
 
 def q_merge_windows(spark, sf_dir):
-    d = doc_tokens(spark, sf_dir)
-    w = to_windows(d, 510, 0)
-    merged = merge_windows(w, ["tokens"])
-    trimmed = merge_windows(w, ["tokens"], edge_trim=1)
-    return (merged.join(trimmed.select("doc_id", F.size("tokens").alias("n_tokens_trimmed")), "doc_id")
-            .join(d.select("doc_id", F.col("tokens").alias("source_tokens")), "doc_id")
-            .select("doc_id", "n_windows", F.size("tokens").alias("n_tokens"),
-                    F.col("tokens")[0].token.alias("first_token"), F.element_at("tokens", -1).token.alias("last_token"),
-                    "n_tokens_trimmed", (F.col("tokens") == F.col("source_tokens")).alias("same_as_source")))
+    """Windows gathered once, merged whole and with trimmed edges; a hash tells whether the merged tokens are the document's."""
+    d = doc_tokens(spark, sf_dir).select("doc_id", "tokens", F.xxhash64("tokens").alias("own"))
+    g = gather_windows(to_windows(d, 510, 0, keep=("own",)), ["tokens"], "doc_id", F.first("own").alias("own"))
+    g = g.select("doc_id", "own", F.size("_w").alias("n_windows"), merged_column("tokens").alias("tokens"),
+                 F.size(merged_column("tokens", edge_trim=1)).alias("n_tokens_trimmed"))
+    return g.select("doc_id", "n_windows", F.size("tokens").alias("n_tokens"), F.col("tokens")[0].token.alias("first_token"),
+                    F.element_at("tokens", -1).token.alias("last_token"), "n_tokens_trimmed", (F.xxhash64("tokens") == F.col("own")).alias("same_as_source"))
 
 
 def q_attach_documents(spark, sf_dir):
