@@ -90,9 +90,10 @@ def longest_first(spans: Column) -> Column:
     Spans that meet no other are taken at once; only the rest, rarely any, are compared with one another.
     """
     def alone(s):
-        reach = prefix_max(F.transform(s, lambda x: x.end))
-        return F.transform(s, lambda x, i: F.struct(
-            (((i == 0) | (at(reach, i - 1) <= x.start)) & F.coalesce(F.try_element_at(s, i + 2).start >= x.end, F.lit(True))).alias("alone"), x.alias("span")))
+        def mark(reach):  # bound: written out inside the lambda it would be computed again for each span
+            return F.transform(s, lambda x, i: F.struct(
+                (((i == 0) | (at(reach, i - 1) <= x.start)) & F.coalesce(F.try_element_at(s, i + 2).start >= x.end, F.lit(True))).alias("alone"), x.alias("span")))
+        return let(prefix_max(F.transform(s, lambda x: x.end)), mark)
 
     def settle(marked):
         free = F.transform(F.filter(marked, lambda m: m.alone), lambda m: m.span)

@@ -372,6 +372,7 @@ def casenote_sql() -> dict[str, str]:
             f"WITH {maps_cte()}, {rewrite_ctes()}, "
             + redact_sql(("email", "phone", "url"), "SELECT doc_id, t3 AS text FROM r3w").removeprefix("WITH ")),
         "redact_spans": spans_sql(),
+        "match_in_span": f"WITH {notes_tagged_cte()} SELECT doc_id, pos, token FROM tagged WHERE label IN ('B-PERSON', 'I-PERSON')",
         "scored_windows": scored_windows_sql(),
         "date_layouts": f"SELECT doc_id, 0 AS ord, 29 AS start, value, parsed, {sql_fake_date('value', 'doc_id', SEED, 'parsed')} AS fake FROM ({DATED_NOTES_SQL})",
         "sample_batches": (

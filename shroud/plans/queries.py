@@ -198,7 +198,7 @@ from ..operators.classify import RuleTagger  # noqa: E402
 from ..operators.redact import build_maps, detect, redact  # noqa: E402
 from ..operators.mapping import date_entries, location_entries, name_entries  # noqa: E402
 from ..operators.scorer import WindowedScorer, one_hot  # noqa: E402
-from ..operators.spans import bio_mentions, entity_lists, mention_rows  # noqa: E402
+from ..operators.spans import bio_mentions, entity_lists, inside_spans, mention_rows  # noqa: E402
 
 ENTS = ("PERSON", "LOCATION", "DATE")
 from ..functions.dates import fake_date, parse_date  # noqa: E402
@@ -291,6 +291,13 @@ def q_scored_windows(spark, sf_dir):
     return w.select("doc_id", "window_no", "n_tokens", F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").alias("label_ids"))
 
 
+def q_match_in_span(spark, sf_dir):
+    """Tokens of the case notes that lie in a PERSON span, both as long tables, by a range join."""
+    notes = case_notes(spark, sf_dir)
+    spans = notes_detected(spark, sf_dir).select("doc_id", F.explode("person_spans").alias("s")).select("doc_id", "s.start", "s.end")
+    return inside_spans(token_rows(notes), spans).select("doc_id", "pos", "token")
+
+
 def q_date_layouts(spark, sf_dir):
     """Dates in every layout found in a sentence, parsed and replaced."""
     d = RuleTagger().mentions(dated_notes(spark, sf_dir), ("DATE",))
@@ -364,6 +371,7 @@ def casenote_queries() -> dict[str, Query]:
         "redact_documents": q_redact_documents,
         "redact_spans": q_redact_spans,
         "scored_windows": q_scored_windows,
+        "match_in_span": q_match_in_span,
         "date_layouts": q_date_layouts,
         "sample_batches": q_sample_batches,
         "scored_documents": q_scored_documents,

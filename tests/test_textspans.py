@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from shroud.functions.textspans import KINDS, SPANS_TYPE, bio_labels, left_to_ri
 from shroud.operators.classify import RuleTagger, Trie
 from shroud.operators.mapping import name_entries
 from shroud.operators.redact import redact
+from shroud.operators.spans import inside_spans
 from shroud.operators.tokens import with_tokens
 from test_mapping import MENTIONS
 
@@ -157,3 +159,32 @@ def test_fakes_of_a_document_differ(spark):
     for r in spark.createDataFrame([(d, own) for d in range(8)], f"doc_id int, mentions {MENTIONS}").select(
             name_entries(F.col("mentions"), F.col("doc_id"), 200).alias("e")).collect():
         assert all(e.real != e.fake.lower() for e in r.e)
+
+
+def test_document_of_many_names(spark):
+    """Thousands of names in one document: found, mapped and rewritten without comparing each with each."""
+    def note(n):
+        return "".join(f"Dr. Ann{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} Bergo{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} came.\n"
+                       for i in range(n))
+    cfg = RedactionConfig(mode="spans")
+    df = spark.createDataFrame([(1, note(5000))], "doc_id int, text string")
+    start = time.time()
+    out = redact(df, RuleTagger(), cfg=cfg).first().redacted_text
+    assert time.time() - start < 90
+    assert out.count("Dr. ") == 5000 and out.count(" came.\n") == 5000 and not re.search(r"Ann[a-z]{3}|Bergo[a-z]{3}", out)
+    lines = re.findall(r"Dr\. (\S+) (\S+) came", out)
+    assert len({a for a, _ in lines}) == len({b for _, b in lines}) == 5000
+
+
+def test_range_join_equals_arrays(spark):
+    rnd = random.Random(6)
+    docs = []
+    for d in [None, *range(60)]:
+        spans = [(s, s + rnd.choice([0, 1, 5, 700])) for s in (rnd.randint(0, 2000) for _ in range(rnd.randint(0, 6)))]
+        docs.append((d, spans, [rnd.randint(0, 2800) for _ in range(20)]))
+    spans = spark.createDataFrame([(d, *s) for d, x, _ in docs for s in x], "doc_id int, start int, end int")
+    matches = spark.createDataFrame([(d, p) for d, _, ps in docs for p in ps], "doc_id int, start int")
+    want = sorted(((d is not None, d or 0), p) for d, x, ps in docs for p in ps if any(a <= p < b for a, b in x))
+    for width in (256, 16):
+        got = inside_spans(matches, spans, width=width).collect()
+        assert sorted(((r.doc_id is not None, r.doc_id or 0), r.start) for r in got) == want
