@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: (verdict, rule); a rule is a host, which also stands for its subdomains, and a path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/"))
@@ -149,6 +151,8 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES,
     if model is None:
         model = train(pages.sparkSession.createDataFrame(LABELLED, "url string, verdict string"))
 
+    ship(pages.sparkSession)
+
     @F.pandas_udf("double")
     def log_odds(host: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series(model.score(host.to_numpy(), path.to_numpy()))
