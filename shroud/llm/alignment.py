@@ -230,7 +230,8 @@ def pair_counts(aligned: DataFrame, second: str = SECOND) -> DataFrame:
             yield rows(*total())
 
     sums = aligned.select("codes", "times", "copies").mapInArrow(add, "code long, links long").groupBy("code").agg(F.sum("links").alias("links"))
-    sums = stored(sums.select(F.expr(f"code div {n_b}").alias("a"), F.expr(f"code % {n_b}").alias("b"), "links"), "alignment-sums")
+    few = max(1, int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)  # a small table: fewer files than tasks that sum
+    sums = stored(sums.select(F.expr(f"code div {n_b}").alias("a"), F.expr(f"code % {n_b}").alias("b"), "links").coalesce(few), "alignment-sums")
     most = sums.groupBy("b").agg(F.max("links").alias("most"))  # a row for each id of B at most
     return sums.join(F.broadcast(most), "b").select("a", "b", "links", (F.col("links") == F.col("most")).alias("best"))
 
