@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, SparkSession
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..config import DEFAULT_BATCH_SIZE, LABEL2ID
 from ..shipping import ship
 
+PREDICTED = 8  # batches whose scores are returned together
+
 _LOADED: dict = {}  # models of this Python worker
 
 
@@ -27,22 +28,29 @@ def model_scorer(spark: SparkSession, name: str, load: Callable, predict: Callab
 
     ``load()`` runs once in each Python worker (workers live on from task to task), under ``name``. ``predict(model, lists)`` gets at most
     ``batch_size`` token lists at a time, of whatever documents come next, and returns a (tokens x labels) array for each. A null list gives null.
+    Lists leave Arrow, and scores go back, a few batches at a time: a worker never holds the scores of a whole Arrow batch (10,000 windows of
+    512 slots and 11 labels are 56 million numbers).
     """
+    import pyarrow as pa
     ship(spark)
 
     def score(batches):
+        import pyarrow as pa
         from shroud.operators.models import loaded as once
         model = once(name, load)
+        rows = PREDICTED * batch_size
         for lists in batches:
-            there = np.flatnonzero(lists.notna().to_numpy())
-            out = [None] * len(lists)
-            for i in range(0, len(there), batch_size):
-                own = there[i:i + batch_size]
-                for j, scores in zip(own, predict(model, [list(lists.iloc[j]) for j in own])):
-                    out[j] = [row.tolist() for row in np.asarray(scores, np.float32)]
-            yield pd.Series(out, dtype=object)
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return pandas_udf(score, "array<array<float>>")
+            for begin in range(0, len(lists), rows):
+                own = lists.slice(begin, rows).to_pylist()
+                there = [j for j, x in enumerate(own) if x is not None]
+                out = [None] * len(own)
+                for i in range(0, len(there), batch_size):
+                    now = there[i:i + batch_size]
+                    for j, scores in zip(now, predict(model, [own[j] for j in now])):
+                        out[j] = [row.tolist() for row in np.asarray(scores, np.float32)]
+                yield pa.array(out, pa.list_(pa.list_(pa.float32())), from_pandas=True)
+    score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(score, "array<array<float>>")
 
 
 # --- a linear model over three features of a token ----------------------------------------
