@@ -1,13 +1,20 @@
 """Steps that must not fall to a few tasks, be done twice, or hold a whole batch of scores."""
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from shroud.functions.arrays import exploded
+from shroud.config import LABEL2ID
+from shroud.functions.arrays import exploded, starts_inside
 from shroud.functions.dates import parse_date
+from shroud.functions.fakes import fake_email, fake_location, fake_phone
 from shroud.functions.textspans import located
+from shroud.operators.mapping import name_entries
 from shroud.operators.models import load_linear, model_scorer, predict_linear
-from shroud.operators.tokens import sample_batches, token_rows, with_tokens
+from shroud.operators.scorer import one_hot
+from shroud.operators.tokens import prepare_samples, sample_batches, token_rows, with_tokens
+from shroud.plans.casenotes import case_notes
+from shroud.plans.queries import q_training_samples, q_vocab_encode, q_vocabulary
 from shroud.sources.tables import SCAN_PARTITIONS, spread
 
 
@@ -74,3 +81,30 @@ def test_sample_batches_makes_samples_once(spark, tmp_path):
     assert sorted(r.sample_no for r in got.collect()) == list(range(50))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "isnotnull(_bucket" not in plan
+
+
+@pytest.fixture()
+def notes_dir(spark, tmp_path):
+    """Tables of a few orders, customers and nations, and two documents."""
+    d = str(tmp_path)
+    spark.range(40).selectExpr("id AS o_orderkey", "id % 5 AS o_custkey", "timestamp'2020-01-02 00:00:00' AS o_orderdate").coalesce(1).write.parquet(f"{d}/orders.parquet")
+    spark.range(5).selectExpr("id AS c_custkey", "cast(id AS int) AS c_nationkey").coalesce(1).write.parquet(f"{d}/customer.parquet")
+    spark.range(25).selectExpr("cast(id AS int) AS n_nationkey", "concat('Land', chr(cast(97 + id AS int))) AS n_name").coalesce(1).write.parquet(f"{d}/nation.parquet")
+    spark.createDataFrame([(1, "a b. a"), (2, None)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_notes_are_dealt_out_behind_their_joins(spark, notes_dir):
+    kept = {k: spark.conf.get(k, None) for k in (SCAN_PARTITIONS, "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set(SCAN_PARTITIONS, "13")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        notes = case_notes(spark, notes_dir)
+        assert notes.count() == 40 and notes.rdd.getNumPartitions() == 13
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
