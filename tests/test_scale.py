@@ -108,3 +108,20 @@ def test_notes_are_dealt_out_behind_their_joins(spark, notes_dir):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_fakes_hash_a_key_once(spark):
+    df = spark.createDataFrame([(1, "Paris")], "doc_id int, v string")
+    for fake in (fake_location, fake_phone, fake_email):
+        assert _plan(df.select(fake(F.col("v"), F.col("doc_id"), 200).alias("f"))).count("md5(") == 1
+    mentions = "array<struct<entity:string,ord:int,value:string>>"
+    df = spark.createDataFrame([(1, [("PERSON", 0, "Ann Lee")])], f"doc_id int, mentions {mentions}")
+    assert _plan(df.select(name_entries(F.col("mentions"), F.col("doc_id"), 200).alias("e"))).count("md5(") == 2  # one for each pool
+
+
+def test_starts_inside_few_and_many_spans(spark):
+    spans = [(i * 10, i * 10 + 3) for i in range(40)]
+    schema = "starts array<int>, spans array<struct<start:int,end:int>>"
+    df = spark.createDataFrame([([0, 2, 3, 391, 393], spans), ([0, 2, 3], spans[:1]), ([1], [])], schema)
+    got = [r.x for r in df.select(starts_inside(F.col("starts"), F.col("spans")).alias("x")).collect()]
+    assert got == [[True, True, False, True, False], [True, True, False], [False]]
