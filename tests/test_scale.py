@@ -125,3 +125,10 @@ def test_starts_inside_few_and_many_spans(spark):
     df = spark.createDataFrame([([0, 2, 3, 391, 393], spans), ([0, 2, 3], spans[:1]), ([1], [])], schema)
     got = [r.x for r in df.select(starts_inside(F.col("starts"), F.col("spans")).alias("x")).collect()]
     assert got == [[True, True, False, True, False], [True, True, False], [False]]
+
+
+def test_one_hot_vectors_are_constants(spark):
+    df = spark.createDataFrame([(["O", "nothing"],)], "labels array<string>").select(one_hot(F.col("labels"), F.lit(3)).alias("s"))
+    assert "sequence(" not in _plan(df)
+    first, unknown, filler = df.first().s
+    assert first == [1.0] + [0.0] * 10 and unknown == [0.0] * 11 and sum(filler) == 1.0
