@@ -132,3 +132,12 @@ def test_one_hot_vectors_are_constants(spark):
     assert "sequence(" not in _plan(df)
     first, unknown, filler = df.first().s
     assert first == [1.0] + [0.0] * 10 and unknown == [0.0] * 11 and sum(filler) == 1.0
+
+
+def test_samples_are_encoded_before_padding_and_numbered_without_their_slots(spark, notes_dir):
+    df = spark.createDataFrame([(1, 0, ["a", "[PAD]"], ["B-PERSON", "O"]), (2, 0, ["a", "b", "c", "d"], ["O", "O", "O", "wrong"])],
+                               "doc_id int, window_no int, tokens array<string>, tags array<string>")
+    got = {r.doc_id: r for r in prepare_samples(df, max_len=3, tags="tags").collect()}
+    assert got[1].mask == [1, 0, 0] and got[1].targets == [LABEL2ID["B-PERSON"], 0, 0] and got[2].mask == [1, 1, 1] and got[2].targets == [0, 0, 0]
+    plan = _plan(q_training_samples(spark, notes_dir))
+    assert plan.index("Window [") < plan.index("array_join")
