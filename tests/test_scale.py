@@ -141,3 +141,12 @@ def test_samples_are_encoded_before_padding_and_numbered_without_their_slots(spa
     assert got[1].mask == [1, 0, 0] and got[1].targets == [LABEL2ID["B-PERSON"], 0, 0] and got[2].mask == [1, 1, 1] and got[2].targets == [0, 0, 0]
     plan = _plan(q_training_samples(spark, notes_dir))
     assert plan.index("Window [") < plan.index("array_join")
+
+
+def test_vocabulary_needs_no_offsets_and_windows_only_their_own_size(spark, notes_dir):
+    vocab = q_vocabulary(spark, notes_dir)
+    assert "ArrowEvalPython" not in _plan(vocab)
+    assert sorted((r.token, r.id, r["count"]) for r in vocab.collect()) == [(".", 3, 1), ("a", 2, 2), ("b", 4, 1)]
+    encoded = q_vocab_encode(spark, notes_dir)
+    assert "64 AS max_len" not in _plan(encoded)
+    assert [r.ids_text.split()[:5] for r in encoded.collect() if r.ids_text] == [["2", "4", "3", "2", "0"]]
