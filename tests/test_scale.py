@@ -9,9 +9,11 @@ from shroud.functions.arrays import exploded, starts_inside
 from shroud.functions.dates import parse_date
 from shroud.functions.fakes import fake_email, fake_location, fake_phone
 from shroud.functions.textspans import located
+from shroud.operators.classify import RuleTagger
 from shroud.operators.mapping import name_entries
 from shroud.operators.models import load_linear, model_scorer, predict_linear
 from shroud.operators.scorer import one_hot
+from shroud.operators.spans import bio_mentions
 from shroud.operators.tokens import prepare_samples, sample_batches, token_rows, with_tokens
 from shroud.plans.casenotes import case_notes
 from shroud.plans.queries import q_training_samples, q_vocab_encode, q_vocabulary
@@ -150,3 +152,29 @@ def test_vocabulary_needs_no_offsets_and_windows_only_their_own_size(spark, note
     encoded = q_vocab_encode(spark, notes_dir)
     assert "64 AS max_len" not in _plan(encoded)
     assert [r.ids_text.split()[:5] for r in encoded.collect() if r.ids_text] == [["2", "4", "3", "2", "0"]]
+
+
+def test_tokens_and_spans_come_from_marked_texts(spark):
+    texts = ["Name: Ann Lee saw Paris on May 5, 2020.", "Dr. May 5, 2020 \U0001f600 Paris", "a\u0000b Dr. Anna Berg in Paris", "xParis \U0001d49cParis", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2, "doc_id")
+    tagger = RuleTagger(spark.createDataFrame([("paris",)], "entry string"))
+    found = tagger.find(with_tokens(df))
+    udfs = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in line]
+    assert udfs and "split(" not in "".join(udfs) and "spans(" in "".join(udfs)  # no arrays go to Python, spans need no step for each
+    got = {r.doc_id: r for r in found.collect()}
+    words = lambda r: [(r.text[s.start:s.end], s["rank"]) for s in r._spans]
+    assert words(got[0]) == [("Ann Lee", 0), ("Paris", 2), ("May 5, 2020", 1)]
+    assert words(got[1]) == [("May 5, 2020", 1), ("Paris", 2)]  # the longest where spans meet
+    assert words(got[2]) == [("Anna Berg", 0), ("Paris", 2)]
+    assert [got[i]._spans for i in (3, 4, 5)] == [[], [], []] and got[5].tokens is None
+    assert all([r.text[t.start:t.end] for t in r.tokens] == [t.token for t in r.tokens] for r in got.values() if r.text)
+
+
+def test_mentions_step_over_labelled_tokens_only(spark):
+    tokens = [(w, 2 * i, 2 * i + 1) for i, w in enumerate("abcdef")]
+    labels = ["O", "B-PERSON", None, "O", "I-PERSON", "B-DATE"]
+    df = spark.createDataFrame([(1, tokens, labels), (2, tokens[:1], ["O"]), (3, [], []), (4, tokens, None)],
+                               "k int, tokens array<struct<token:string,start:int,end:int>>, labels array<string>").repartition(2, "k")
+    m = df.select("k", bio_mentions(F.col("tokens"), F.col("labels")).alias("m"))
+    got = {r.k: r.m and [(x.entity, x.value, x.first, x.last) for x in r.m] for r in m.collect()}
+    assert got == {1: [("PERSON", "b", 1, 1), ("DATE", "f", 5, 5)], 2: [], 3: [], 4: None}
