@@ -16,7 +16,7 @@ from shroud.operators.scorer import one_hot
 from shroud.operators.spans import bio_mentions
 from shroud.operators.tokens import prepare_samples, sample_batches, token_rows, with_tokens
 from shroud.plans.casenotes import case_notes
-from shroud.plans.queries import q_training_samples, q_vocab_encode, q_vocabulary
+from shroud.plans.queries import q_attach_documents, q_training_samples, q_vocab_encode, q_vocabulary
 from shroud.sources.tables import SCAN_PARTITIONS, spread
 
 
@@ -178,3 +178,19 @@ def test_mentions_step_over_labelled_tokens_only(spark):
     m = df.select("k", bio_mentions(F.col("tokens"), F.col("labels")).alias("m"))
     got = {r.k: r.m and [(x.entity, x.value, x.first, x.last) for x in r.m] for r in m.collect()}
     assert got == {1: [("PERSON", "b", 1, 1), ("DATE", "f", 5, 5)], 2: [], 3: [], 4: None}
+
+
+def test_attached_documents_are_dealt_out_once(spark, tmp_path):
+    rows = [(1, "a b. " * 600), (1, "c"), (None, "d e"), (None, "f"), (2, ""), (3, "a\u0000b  ß\U0001f600 x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert with_tokens(docs, python=False).collect() == with_tokens(docs).collect()
+    got = q_attach_documents(spark, str(tmp_path))
+    left = [(1, 3000, 1801), (1, 1, 1801), (None, 3, 3), (None, 1, 3), (2, 0, None), (3, 9, 6)]
+    want = [("left", *r) for r in left] + [("inner", *r) for r in left if r[0] != 2]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    nodes = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("ArrowEvalPython" in x for x in nodes)
+    moved = [x.split("Exchange ")[1] for x in nodes if "Exchange hashpartitioning" in x]
+    assert moved and not any(x.startswith("hashpartitioning(doc_id") and "ENSURE_REQUIREMENTS" in x for x in moved)
+    assert all("n_chars" in x and "text#" not in x for x in _plan(got).splitlines() if x.lstrip(" :+-").startswith("Project [left AS how"))
